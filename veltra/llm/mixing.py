@@ -22,7 +22,7 @@ from veltra.llm._util import materialize, read
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words a block holds about, and the most blocks a source is cut into (its blocks grow beyond that).
-BLOCK_WORDS, MOST_BLOCKS = 20_000, 4096
+BLOCK_WORDS, MOST_BLOCKS = 50_000, 4096
 SHARDS = 16
 
 
@@ -100,12 +100,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     drawn = materialize(blocks.where("drawn > 0").select("k", "b", "left", "words").join(drawn, ["k", "b"]), "drawn")
     rows = rows.join(drawn, ["k", "b"], "left")
     part = (F.col("left") > 0) & (F.col("left") < F.col("words"))
-    # Within that block documents go in hash order while they fit; two more passes fill the gap from those left over.
+    # Within that block documents go in hash order while they fit; more passes fill the gap from those left over, the
+    # last by the nearer side.
     within = Window.partitionBy("k", "b")
     ends = rows.where(part).withColumn("taken", F.lit(False)).withColumn("gap", F.col("left"))
-    for last in (False, False, True):
-        open_ = ~F.col("taken") & (F.col("size") <= F.col("gap"))
-        ends = ends.withColumn("open", open_).withColumn("sum", F.sum(F.when(F.col("open"), F.col("size"))).over(within.orderBy(F.col("open").desc(), "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
+    for last in (False, False, False, True):
+        open_ = ~F.col("taken") & (F.col("size") <= F.col("gap") * (2 if last else 1))
+        ends = ends.withColumn("open", open_).withColumn("sum", F.sum(F.when(F.col("open"), F.col("size"))).over(within.orderBy(F.col("open").desc(), "size" if last else "h", "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
         ends = ends.withColumn("taken", F.col("taken") | (F.col("open") & (F.col("sum") - (F.col("size") / 2 if last else F.lit(0)) <= F.col("gap"))))
         ends = ends.withColumn("gap", F.col("left") - F.coalesce(F.sum(F.when(F.col("taken"), F.col("size"))).over(within), F.lit(0)))
     ends = ends.withColumn("placements", F.when(F.col("taken"), F.col("placements")).otherwise(F.filter("placements", lambda x: x.copy < F.col("copies"))))
