@@ -6,9 +6,15 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import veltra
+
+# Workers get the package's functions by value, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(veltra)
+
 #: Bytes of text that numpy works on at once; a longer single text makes a slice of its own.
 SLICE_BYTES = 4 << 20
 

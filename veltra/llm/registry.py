@@ -1,9 +1,17 @@
 """The operators' queries and, where SQL can express them, their SQL."""
 
+from veltra.llm.media import op8_media
 from veltra.llm.mixing import op10_mixing
+from veltra.llm.sentencepiece_bpe import op2_sentencepiece
+from veltra.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
+    "op8_media": op8_media,
+    "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_warc": OP9_SQL,
+}
