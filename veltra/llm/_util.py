@@ -166,3 +166,44 @@ def components(edges: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Classes of bytes: 0 white space, 1 letters, digits and all of other scripts, 2 the rest.
+BYTE_CLASS = np.full(256, 2, np.uint8)
+BYTE_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+BYTE_CLASS[SPACE] = 0
+
+
+def class_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and classes of the maximal runs of one class (white space aside), and each text's n + 1 run offsets."""
+    if not len(data):
+        zero = np.zeros(0, np.int64)
+        return zero, zero, np.zeros(0, np.uint8), np.zeros(len(offs), np.int64)
+    kind = BYTE_CLASS[data]
+    first = np.ones(len(data), bool)
+    first[1:] = kind[1:] != kind[:-1]
+    first[offs[:-1][offs[1:] > offs[:-1]]] = True
+    starts = np.flatnonzero(first)
+    stops = np.append(starts[1:], len(data))
+    keep = kind[starts] > 0
+    starts, stops = starts[keep], stops[keep]
+    return starts, stops, kind[starts], np.searchsorted(starts, offs)
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, str | None, int]]:
+    """At most bound labelled documents of either label, by a hash of their ids: (text, label, lang, rows of that label
+    that there are per row taken times 1000). Labels that are null or have no document are left out; of an id's labels
+    the largest counts, and its smallest text."""
+    spark = docs.sparkSession
+    known = labels.where(keep & F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("_label"))
+    known = known.withColumn("_label", (F.col("_label") > 0).cast("int"))
+    counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    out = []
+    for value in sorted(counts):
+        ids = known.where(F.col("_label") == value).orderBy(F.xxhash64(F.lit(5), id_col), id_col).limit(bound)
+        rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_text"), lang.alias("_lang")).join(F.broadcast(ids), id_col)
+        rows = rows.groupBy(id_col).agg(F.min(F.struct("_text", "_lang")).alias("t")).select(id_col, "t.*").toArrow().sort_by(id_col)
+        share = int(1000 * max(1.0, counts[value] / bound))
+        out += [(t, value, g, share) for t, g in zip(rows["_text"].to_pylist(), rows["_lang"].to_pylist())]
+    return out

@@ -2,11 +2,15 @@
 
 from veltra.llm.media import op8_media
 from veltra.llm.mixing import op10_mixing
+from veltra.llm.quality import op5_quality
 from veltra.llm.sentencepiece_bpe import op2_sentencepiece
+from veltra.llm.toxicity import op4_toxicity
 from veltra.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op8_media": op8_media,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,

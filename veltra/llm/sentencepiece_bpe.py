@@ -17,6 +17,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from veltra.llm._util import arrow_rows, binary_parts, read, slices, span_hashes
 
@@ -281,7 +282,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "ids", mod
             column = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, ids_col])
 
-    return kept.mapInArrow(run, kept.schema.add(ids_col, "array<int>"))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields]).add(ids_col, "array<int>"))
 
 
 def decode(rows: DataFrame, *, ids_col: str = "ids", text_col: str = "text", model_path: str | None = None) -> DataFrame:
@@ -296,7 +297,7 @@ def decode(rows: DataFrame, *, ids_col: str = "ids", text_col: str = "text", mod
             texts = [codec.decode(np.asarray(x or [], np.int64)).decode() for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
 
-    return kept.mapInArrow(run, kept.schema.add(text_col, "string"))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields]).add(text_col, "string"))
 
 
 def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
