@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -32,6 +33,12 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner see that earlier plans are gone, so that it removes their shuffle files now rather than later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:
     """Fewer rows per Arrow batch than Spark's default, as texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -1,5 +1,6 @@
 """The operators' queries and, where SQL can express them, their SQL."""
 
+from veltra.llm.jaccard import op1_jaccard_join
 from veltra.llm.media import op8_media
 from veltra.llm.mixing import op10_mixing
 from veltra.llm.quality import op5_quality
@@ -9,6 +10,7 @@ from veltra.llm.toxicity import op4_toxicity
 from veltra.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
