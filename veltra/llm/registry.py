@@ -5,6 +5,7 @@ from veltra.llm.media import op8_media
 from veltra.llm.mixing import op10_mixing
 from veltra.llm.quality import op5_quality
 from veltra.llm.sentencepiece_bpe import op2_sentencepiece
+from veltra.llm.suffix_dedup import op3_suffix_dedup
 from veltra.llm.topk import OP6_SQL, op6_topk
 from veltra.llm.toxicity import op4_toxicity
 from veltra.llm.warc import OP9_SQL, op9_warc
@@ -12,6 +13,7 @@ from veltra.llm.warc import OP9_SQL, op9_warc
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_topk": op6_topk,
