@@ -1,5 +1,6 @@
 """The operators' queries and, where SQL can express them, their SQL."""
 
+from veltra.llm.chaining import op7_chaining
 from veltra.llm.jaccard import op1_jaccard_join
 from veltra.llm.media import op8_media
 from veltra.llm.mixing import op10_mixing
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_topk": op6_topk,
+    "op7_chaining": op7_chaining,
     "op8_media": op8_media,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
