@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -35,8 +36,10 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner see that earlier plans are gone, so that it removes their shuffle files now rather than later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees holds what the second finds
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:

@@ -3,7 +3,7 @@
 A payload (text in UTF-8, padded with bytes 255 to a positive multiple of 576) is cut where a rolling gear hash of its
 last 32 bytes has zero low bits, so that equal passages give equal chunks. Payloads are identified by their SHA-256, and
 joins on chunk digests pick one owner for each chunk. The store has a row (pack) per distinct payload with the ordered
-list of its chunk digests and the Zstandard form of the chunks that it owns. Reading takes chunks from the payload's own
+list of its chunk digests and the Zstandard form (with a dictionary common to the store) of the chunks that it owns. Reading takes chunks from the payload's own
 pack and fetches only foreign ones by a join; every chunk and every payload is verified against its digest.
 
 Defined results: a null text is empty; equal texts share all values; repeated rows and ids are rows of their own; texts are
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veltra.llm._util import BYTE_HASH, arrow_rows, binary_parts, materialize, read
+from veltra.llm._util import BYTE_HASH, arrow_rows, binary_parts, materialize, read, release
 
 FRAME = 576
-LEAST, MOST, MASK = 1 << 10, 1 << 14, (1 << 12) - 1
+LEAST, MOST = 1 << 12, 1 << 16
 GEAR = (BYTE_HASH >> np.uint64(32)).astype(np.uint32)
 STEP = 4 << 20
+#: The compression dictionary: its bytes, and the rows (by hash of their text) and characters of each that it is trained on.
+DICTIONARY_BYTES, DICTIONARY_ROWS, DICTIONARY_CHARS, LEVEL = 256 << 10, 2500, 6000, 12
 
 
 def padded(raw: bytes) -> bytes:
@@ -43,7 +46,7 @@ def cuts(payload: bytes) -> list[int]:
         h = GEAR[data[begin : lo + STEP]]
         for k in (1, 2, 4, 8, 16):
             h[k:] += h[:-k] << np.uint32(k)
-        found.append(np.flatnonzero((h[lo - begin :] >> np.uint32(20)) == 0) + lo + 1)
+        found.append(np.flatnonzero((h[lo - begin :] >> np.uint32(19)) == 0) + lo + 1)
     out, last = [], 0
     for c in np.concatenate(found).tolist():
         while c - last > MOST:
@@ -95,11 +98,36 @@ def manifests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload binary, digests array<binary>")
 
 
-def store(docs: DataFrame, manifest: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The chunk store: (payload, chunks array<struct<seq, digest, own>>, own array<struct<digest, shared, data>>, foreign)."""
+@dataclass(frozen=True)
+class ChunkStore:
+    """packs: (payload, chunks array<struct<seq, digest, own>>, own array<struct<digest, shared, data>>, foreign).
+    dictionary: the compression dictionary of all chunks, empty where there were too few rows to train one."""
+
+    packs: DataFrame
+    dictionary: bytes
+
+
+def _dictionary(raw: bytes):
+    return zstandard.ZstdCompressionDict(raw) if raw else None
+
+
+def trained_dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
+    text = docs.select(F.xxhash64(text_col).alias("h"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, DICTIONARY_CHARS).alias("t"))
+    hashes = text.groupBy("h").agg(F.lit(1)).orderBy("h").limit(DICTIONARY_ROWS).agg(F.max("h")).collect()[0][0]
+    rows = text.where(F.col("h") <= F.lit(hashes)).groupBy("h").agg(F.min("t").alias("t")).collect() if hashes is not None else []
+    rows.sort(key=lambda r: r["h"])
+    samples = [r["t"].encode() for r in rows if r["t"]]
+    if sum(map(len, samples)) < 10 * DICTIONARY_BYTES:
+        return b""
+    return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+
+
+def store(docs: DataFrame, manifest: DataFrame, *, text_col: str = "text") -> ChunkStore:
+    """Write the chunk store of docs into the shared folder."""
+    dictionary = trained_dictionary(docs, text_col)
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
         for batch in batches:
             keys, lists = [], []
             for _, payload in _payloads(batch, "text"):
@@ -116,16 +144,20 @@ def store(docs: DataFrame, manifest: DataFrame, *, text_col: str = "text") -> Da
     blobs = docs.select(docs[text_col].alias("text")).mapInArrow(run, "payload binary, blobs array<binary>").groupBy("payload").agg(F.first("blobs").alias("blobs"))
     own = F.transform(F.filter("chunks", lambda c: c.own), lambda c: F.struct(c.digest.alias("digest"), c.shared.alias("shared"), F.col("blobs")[c.seq].alias("data")))
     packs = blobs.join(lists, "payload").select("payload", "chunks", own.alias("own"), F.exists("chunks", lambda c: ~c.own).alias("foreign"))
-    return materialize(packs, "packs")
+    packs = materialize(packs, "packs")
+    release(docs.sparkSession)
+    return ChunkStore(packs, dictionary)
 
 
-def read_back(packs: DataFrame, with_payload: bool = False) -> DataFrame:
+def read_back(stored: ChunkStore, with_payload: bool = False) -> DataFrame:
     """A row per distinct payload, rebuilt from the store: (payload, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature), and the bytes as ``data`` if asked for. A chunk or payload that fails its digest raises ValueError."""
     fields = "payload binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", data binary" * with_payload
 
+    packs, dictionary = stored.packs, stored.dictionary
+
     def run(batches):
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
         for batch in batches:
             out = []
             for row in batch.to_pylist():

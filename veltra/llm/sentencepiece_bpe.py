@@ -17,7 +17,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from veltra.llm._util import arrow_rows, binary_parts, read, slices, span_hashes
 
@@ -282,7 +282,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", ids_col: str = "ids", mod
             column = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, ids_col])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields]).add(ids_col, "array<int>"))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields]).add(ids_col, ArrayType(IntegerType())))
 
 
 def decode(rows: DataFrame, *, ids_col: str = "ids", text_col: str = "text", model_path: str | None = None) -> DataFrame:
