@@ -23,7 +23,8 @@ from veltra.llm._util import materialize, read
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words a block holds about, and the most blocks a source is cut into (its blocks grow beyond that).
 BLOCK_WORDS, MOST_BLOCKS = 50_000, 4096
-SHARDS = 16
+#: Least number of output shards, and words of a shard from which there are more of them.
+SHARDS, SHARD_WORDS = 16, 20_000_000
 
 
 def _ln_factorial(n: str) -> str:
@@ -77,11 +78,14 @@ def targets(sizes: DataFrame, max_repeat: float = 3.0) -> DataFrame:
     return s.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.least(level * F.col("w"), F.col("cap")))).select("source", "source_size", "k", "target")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, block_words: int = BLOCK_WORDS, max_repeat: float = 3.0, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, block_words: int = BLOCK_WORDS, max_repeat: float = 3.0, seed: int = 17) -> DataFrame:
     """A row per row of docs: (doc_id, source, size, source_size, target, placements array<struct<copy, shard>>)."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source"))
     rows = materialize(rows, "sizes")
+    if shards is None:  # a power of 2 that grows with the words
+        words = rows.agg(F.sum("size")).collect()[0][0] or 0
+        shards = max(SHARDS, 1 << max(0, words // SHARD_WORDS).bit_length())
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeat)
     s = F.col("source_size")
     goal = goal.withColumn("copies", F.when(s > 0, F.floor(F.col("target") / F.greatest(s, F.lit(1)))).otherwise(0).cast("int")).withColumn("rest", F.when(s > 0, F.col("target") - F.col("copies") * s).otherwise(0.0)).withColumn("n_blocks", F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(s / block_words))).cast("int"))
@@ -114,11 +118,12 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return rows.where(~F.coalesce(part, F.lit(False))).select(*kept).unionByName(ends.select(*kept))
 
 
-def shuffled(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", shards: int = SHARDS, seed: int = 17) -> DataFrame:
-    """The mix itself: a row of docs per placement, with shard and copy, shuffled within each shard."""
-    at = mixed.select(F.col("doc_id").alias("_id"), F.inline("placements")).where("shard is not null").distinct()
-    out = docs.join(at, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
-    return out.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 3), F.col(id_col), "copy"))
+def shuffled(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", seed: int = 17) -> DataFrame:
+    """The mix itself: a row of docs per placement, with shard and copy, shuffled within each shard. Rows that repeat id
+    and source are placed as often as any of them is."""
+    at = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.inline("placements")).distinct()
+    out = docs.join(at, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source"))).drop("_id", "_source")
+    return out.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 3), F.col(id_col), "copy"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,5 +321,23 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenized(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) of each row: its ids with the end id, and whether decoding them gives its text again."""
+    arrow_rows(docs.sparkSession, 500)
+    model = _model(model_path)
+
+    def run(batches):
+        codec = _codec(model)
+        for rows, ids, offs in _encoded(batches, model, "text"):
+            data, at = binary_parts(rows.column("text"))
+            same = [codec.decode(ids[a:b]) == data[c:d].tobytes() for a, b, c, d in zip(offs[:-1], offs[1:], at[:-1], at[1:])]
+            lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(offs), pa.int64()), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, decoded boolean")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"))
