@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 import veltra._ship  # noqa: F401
 
@@ -37,12 +38,12 @@ def shortest_after(a: bytes) -> bytes:
     return a
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def separator(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else shortest_between(bytes(x), bytes(y)) for x, y in zip(a, b)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def successor(a: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else shortest_after(bytes(x)) for x in a])
 
