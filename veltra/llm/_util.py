@@ -18,7 +18,7 @@ import veltra
 cloudpickle.register_pickle_by_value(veltra)
 
 #: Bytes of text that numpy works on at once; a longer single text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def scratch(spark: SparkSession) -> str:
@@ -200,20 +200,34 @@ def class_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, stops, kind[starts], np.searchsorted(starts, offs)
 
 
+#: Bytes of text of either label that a classifier is fitted on at most.
+TRAIN_BYTES = 8 << 20
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, str | None, int]]:
-    """At most bound labelled documents of either label, by a hash of their ids: (text, label, lang, rows of that label
-    that there are per row taken times 1000). Labels that are null or have no document are left out; of an id's labels
-    the largest counts, and its smallest text."""
-    spark = docs.sparkSession
+    """At most bound labelled documents of either label and TRAIN_BYTES of whole texts, by a hash of their ids: (text, label,
+    lang, rows of that label that there are per row taken times 1000). Labels that are null or have no document are left
+    out; of an id's labels the largest counts, and its smallest text."""
     known = labels.where(keep & F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("_label"))
     known = known.withColumn("_label", (F.col("_label") > 0).cast("int"))
     counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    text = F.coalesce(F.col(text_col), F.lit(""))
     out = []
     for value in sorted(counts):
-        ids = known.where(F.col("_label") == value).orderBy(F.xxhash64(F.lit(5), id_col), id_col).limit(bound)
-        rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_text"), lang.alias("_lang")).join(F.broadcast(ids), id_col)
+        first = F.xxhash64(F.lit(5), id_col)
+        ids = known.where(F.col("_label") == value).orderBy(first, id_col).limit(bound).select(id_col)
+        sizes = docs.select(id_col, F.octet_length(text).alias("_n")).join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.max("_n").alias("_n")).orderBy(first, id_col).collect()
+        chosen, total = [], 0
+        for r in sizes:
+            if total + r["_n"] <= TRAIN_BYTES:
+                chosen.append((r[0],))
+                total += r["_n"]
+        if not chosen:
+            continue
+        picked = docs.sparkSession.createDataFrame(chosen, ids.schema)
+        rows = docs.select(id_col, text.alias("_text"), lang.alias("_lang")).join(F.broadcast(picked), id_col)
         rows = rows.groupBy(id_col).agg(F.min(F.struct("_text", "_lang")).alias("t")).select(id_col, "t.*").toArrow().sort_by(id_col)
-        share = int(1000 * max(1.0, counts[value] / bound))
+        share = int(1000 * max(1.0, counts[value] / len(chosen)))
         out += [(t, value, g, share) for t, g in zip(rows["_text"].to_pylist(), rows["_lang"].to_pylist())]
     return out

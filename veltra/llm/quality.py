@@ -133,7 +133,7 @@ class QualityModel:
         self.prior = float((y @ weight + 1) / (weight.sum() + 2)) if len(y) else 0.5
         if len(set(y.tolist())) < 2:
             return self
-        x = pooled(self.vectors, *binary_parts(pa.array(texts, pa.string())))
+        x = np.concatenate([pooled(self.vectors, *binary_parts(pa.array(texts[i : i + 100], pa.string()))) for i in range(0, len(texts), 100)])
         self.mean, self.dev = x.mean(0), x.std(0) + 1e-3
         x = (x - self.mean) / self.dev
         rng = np.random.default_rng(3)

@@ -41,10 +41,10 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = kind == 1
     at = np.concatenate([[0], np.cumsum(word)])[at]
     starts, stops = starts[word], stops[word]
-    ids = np.empty((len(starts), 1 + len(FRONTS)), np.int64)
+    ids = np.empty((len(starts), 1 + len(FRONTS)), np.int32)
     for k, n in enumerate((None, *FRONTS)):
         ends = stops if n is None else np.minimum(stops, starts + n)
-        ids[:, k] = (span_hashes(data, starts, ends, BYTE_HASH_LOWER) % np.uint64(BUCKETS - 1)).astype(np.int64) + 1 + k * BUCKETS
+        ids[:, k] = (span_hashes(data, starts, ends, BYTE_HASH_LOWER) % np.uint64(BUCKETS - 1)).astype(np.int32) + 1 + k * BUCKETS
     return np.insert(ids, np.repeat(at[1:], 3), 0, axis=0), at + 3 * np.arange(len(at))
 
 
@@ -84,8 +84,12 @@ class ToxicityModel:
         self.prior = float((y @ weight + 1) / (weight.sum() + 2)) if len(y) else 0.5
         if len(set(y.tolist())) < 2:
             return self
-        data, offs = binary_parts(pa.array(texts, pa.string()))
-        words, offs = tokens(data, offs)
+        parts = []
+        for some in np.array_split(np.arange(len(texts)), max(1, len(texts) // 100)):
+            parts.append(tokens(*binary_parts(pa.array([texts[i] for i in some], pa.string()))))
+        words = np.concatenate([w for w, _ in parts])
+        offs = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))])
+        del parts
         rng = np.random.default_rng(7)
         order = rng.permutation(len(y))
         held, train = order[: len(y) // 5], order[len(y) // 5 :]
@@ -135,7 +139,11 @@ class ToxicityModel:
                     seen[used] += (total * total).mean(1)
                     self.table[used] -= 0.1 * total / np.sqrt(seen[used] + 1e-8)[:, None]
         self.fitted = True
-        self._calibrate(self.logits(words, offs)[held], y[held], weight[held], [lang[i] for i in held])
+        z = []
+        for i in held:  # one text at a time: the driver's memory is small
+            part = words[offs[i] : offs[i + 1]]
+            z.append(self.logits(part, np.array([0, len(part)]))[0])
+        self._calibrate(np.array(z), y[held], weight[held], [lang[i] for i in held])
         return self
 
     def _calibrate(self, z, y, weight, lang) -> None:
