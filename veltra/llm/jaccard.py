@@ -3,13 +3,14 @@
 Every document is its set of distinct k-word shingles; equal sets are one node. Nodes are put into groups of similar
 sets: those that agree on two min-hashes meet in bounded chunks, where a product of their token matrix gives all overlaps,
 and linked nodes form a group (two rounds with other hashes and other chunks, so that parts of a large group meet). The
-token-group matrix holds, for every token that may decide a link, the groups whose union has it. A set of n tokens that
-reaches the similarity t with another must share one of its n - ceil(t n) + 1 rarest tokens with one of the other's, so
-only these enter the matrix, and only where at least two groups have the token. A query set meets the groups that its
-tokens name; where the overlap with the group's whole union could reach t, the group is opened and its sets are compared.
-All links between groups are found so, which makes the components exact; pairs within a group are not listed.
+token-group matrix holds, for every token that may decide a link, the groups whose union has it. First every set brings
+the tokens that come first by hash: of n tokens n - ceil(t n) + l, of which linked sets share l for a similarity t. A set
+of which fewer than l are in other groups is linked to none of them. Those left bring all their tokens: at least
+ceil(t n) must be in other groups, which bounds the overlap with all of them together, and sets that go take their tokens
+with them. The rarest c - ceil(t n) + 1 of the c tokens that a set has in common with other groups then name the groups
+that it asks. Where its overlap with the union of such a group could reach t, the group is opened and its sets are
+compared. All links between groups are found so, which makes the components exact; pairs within a group are not listed.
 
-The order by rarity comes from counters of fixed size that hashed tokens share; any total order gives right results.
 Words and shingles are compared by 64-bit hashes and sets by 128-bit digests of these; nodes carry 64 bits of theirs.
 
 Defined results: null and empty texts and those without words have the empty set, are linked with nothing and are their own
@@ -30,8 +31,14 @@ from pyspark.sql import functions as F
 
 from veltra.llm._util import BYTE_HASH_LOWER, GOLDEN, arrow_rows, binary_parts, components, materialize, mix64, read, release, shingle_hashes, slices, span_hashes, word_spans
 
-#: Counters of the rarity order, and rows of them that a task sends.
-COUNTERS, PARTS = 1 << 22, 16
+#: Bits of the bitmap that tells which documents' sets are wanted, and rows of it that a task sends.
+BITS, PARTS = 1 << 25, 16
+#: Percent of a set's tokens that are taken beyond those that must be, to have l of them in common.
+MORE = 10
+#: Times that sets without enough tokens in other groups are taken out of the matrix.
+ROUNDS = 3
+#: Times that sets ask only the best covered set of their tokens, before they ask all groups.
+HUBS = 2
 #: Most nodes and tokens that are compared in one chunk or group.
 CHUNK_NODES, CHUNK_TOKENS = 256, 1 << 20
 SEEDS = mix64(np.arange(4, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(7))
@@ -60,62 +67,82 @@ def needed(n, percent: int):
     return -(-n * percent // 100)
 
 
+def taken(n, percent: int):
+    """How many of a set's tokens enter the matrix; n may be a number or a Column."""
+    return n - needed(n, percent) + 1 + n * MORE // 100
+
+
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of kind 0: a document's set size, digest and group keys; of kind 1: counters."""
+    """A document's set size, digest, node and group keys."""
 
     def run(batches):
-        counters = np.zeros(COUNTERS, np.uint32)
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        names = ["kind", "doc_id", "key", "n", "d", "node", "g0", "g1"]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             rows = []
             for s in sets(*binary_parts(batch.column("text")), k):
                 g = [0, 0]
                 if len(s):
-                    np.add.at(counters, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
                     low = [int(mix64(s ^ seed).min()) for seed in SEEDS]
                     g = mix64(np.array([low[0], low[2]], np.uint64) * np.uint64(3) + np.array([low[1], low[3]], np.uint64)).astype(np.int64).tolist()
                 d = digest(s)
                 rows.append((len(s), d, node_of(d), *g))
             values = list(zip(*rows)) or [()] * 5
-            columns = [pa.array([0] * len(rows), kinds[0]), batch.column("doc_id"), batch.column("key"), *(pa.array(x, t) for x, t in zip(values, kinds[3:]))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-        packed = [zstandard.compress(p.tobytes(), 1) for p in counters.reshape(PARTS, -1)]
-        none = pa.nulls(PARTS, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([1] * PARTS, pa.int32()), none, none, pa.array(range(PARTS), pa.int64()), pa.array(packed, pa.binary()), none, none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(x, t) for x, t in zip(values, kinds))], names=["doc_id", "key", "n", "d", "node", "g0", "g1"])
 
-    return docs.mapInArrow(run, "kind int, doc_id long, key long, n long, d binary, node long, g0 long, g1 long")
+    return docs.mapInArrow(run, "doc_id long, key long, n long, d binary, node long, g0 long, g1 long")
 
 
-def _rarity(profile: DataFrame) -> np.ndarray:
-    """The counters over all rows on a logarithmic scale of one byte. Parts stream through their task one after another."""
+def _bits(keys: DataFrame) -> bytes:
+    """A bitmap of BITS bits with those set that a column of keys hashes to; parts stream through their task."""
 
-    def run(batches):
-        sums = {}
+    def where(x):
+        return mix64(x.view(np.uint64)) & np.uint64(BITS - 1)
+
+    def mark(batches):
+        bits = np.zeros(BITS, bool)
         for batch in batches:
-            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[part] = sums.get(part, 0) + np.frombuffer(zstandard.decompress(raw), np.uint32).astype(np.int64)
-        for part, x in sums.items():
-            level = np.minimum(255, np.round(8 * np.log2(1 + x))).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([level.tobytes()], pa.binary())], names=["n", "d"])
-
-    rows = profile.where("kind = 1").select("n", "d").repartition(PARTS, "n").mapInArrow(run, "n long, d binary").collect()
-    out = np.zeros((PARTS, COUNTERS // PARTS), np.uint8)
+            bits[where(batch.column(0).to_numpy())] = True
+        packed = np.packbits(bits).reshape(PARTS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array([zstandard.compress(x.tobytes(), 1) for x in packed], pa.binary())], names=["n", "d"])
+
+    def merge(batches):
+        parts = {}
+        for batch in batches:
+            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts[n] = parts.get(n, 0) | np.frombuffer(zstandard.decompress(raw), np.uint8)
+        for n, x in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["n", "d"])
+
+    rows = keys.mapInArrow(mark, "n long, d binary").repartition(PARTS, "n").mapInArrow(merge, "n long, d binary").collect()
+    out = np.zeros((PARTS, BITS // 8 // PARTS), np.uint8)
     for r in rows:
         out[r["n"]] = np.frombuffer(r["d"], np.uint8)
-    return out.reshape(-1)
+    return out.tobytes()
 
 
-def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, s) for each of nodes (node): the set of its smallest document, computed again from the text."""
-    wanted = classes.join(nodes.distinct(), "node").select(F.col("key"), F.col("node").alias("want"))
+def _wanted(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int, as_tokens: bool = False) -> DataFrame:
+    """(node, s): the sets of nodes (node), or (node, token) by token, computed again from the text of their smallest
+    document. A bitmap of fixed size lets few other documents through, whose rows find no partner in the joins that follow."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_bits(classes.join(nodes.distinct(), "node").select("key")))
 
     def run(batches):
+        bits = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            out = [(w, s.tobytes()) for w, s in zip(batch.column("want").to_pylist(), sets(*binary_parts(batch.column("text")), k)) if node_of(digest(s)) == w]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["node", "s"])
+            at = (mix64(batch.column("key").to_numpy().view(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
+            rows = np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+            found = [s for s in sets(*binary_parts(batch.column("text").take(pa.array(rows))), k) if len(s)]
+            node = np.array([node_of(digest(s)) for s in found], np.int64)
+            if as_tokens:
+                flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, [len(s) for s in found])), pa.array(flat)], names=["node", "token"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "s"])
+
+    return docs.select("key", "text").mapInArrow(run, "node long, token long" if as_tokens else "node long, s binary")
+
 
-    return materialize(docs.join(wanted, "key").select("want", "text").mapInArrow(run, "node long, s binary"), "sets")
+def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    return materialize(_wanted(docs, classes, nodes, k), "sets")
 
 
 def _unpack(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -188,6 +215,17 @@ def _open_groups(percent: int):
     return run
 
 
+def _opened(pairs: DataFrame, inside: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links of the queries of pairs (node, g, chunk) with the sets inside (g, chunk, node) of the groups that they name.
+    Many queries of one group are spread over parts, each with the group's sets."""
+    opened = pairs.groupBy("g", "chunk").agg(F.ceil(F.count(F.lit(1)) / CHUNK_NODES).cast("int").alias("parts"))
+    inside = inside.join(opened, ["g", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = pairs.join(opened, ["g", "chunk"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).join(found, "node").select("g", "chunk", "part", "node", "s")
+    right = inside.join(found, "node").select("g", "chunk", "part", "node", "s")
+    left = left.toDF(*left.columns)
+    return left.groupBy("g", "chunk", "part").cogroup(right.groupBy("g", "chunk", "part")).applyInArrow(_open_groups(percent), "a long, b long")
+
+
 def _chunks(rows: DataFrame, key: str, salt: int) -> DataFrame:
     """rows (key, node, n) with chunk: as many per key as its nodes and tokens need."""
     count = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_t"))
@@ -201,22 +239,26 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     arrow_rows(spark, 1000)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
-    profile = materialize(_profile(docs, k), "profile")
-    rows = profile.where("kind = 0").select("doc_id", "key", "n", "d", "node", "g0", "g1")
+    rows = materialize(_profile(docs, k), "profile")
     classes = rows.where("n > 0").groupBy("d").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("g0").alias("g0"), F.first("g1").alias("g1"))
     classes = materialize(classes, "classes")
-    rarity = spark.sparkContext.broadcast(_rarity(profile))  # COUNTERS bytes
-    release(spark)
 
-    # Groups of similar sets.
-    chunked = [_chunks(classes.select(F.col(f"g{r}").alias("g"), "node", "n"), "g", r + 1) for r in (0, 1)]
-    chunked = materialize(chunked[0].withColumn("r", F.lit(0)).unionByName(chunked[1].withColumn("r", F.lit(1))), "chunks")
-    lone = Window.partitionBy("r", "g", "chunk")
-    chunked = chunked.withColumn("c", F.count(F.lit(1)).over(lone)).where("c > 1").drop("c", "n")
-    found = _sets_of(docs, classes, chunked.select("node"), k)
-    release(spark)
-    links = chunked.join(found, "node").select("r", "g", "chunk", "node", "s").groupBy("r", "g", "chunk").applyInArrow(_link_chunk(percent), "a long, b long")
-    links = materialize(links, "links")
+    # Groups of similar sets: the second round only takes chunks that the first hasn't linked as a whole.
+    links = found = None
+    for r in (0, 1):
+        part = classes.select(F.col(f"g{r}").alias("g"), "node", "n")
+        if r:
+            part = part.join(components(links).select(F.col("id").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node"))
+            mixed = part.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
+            part = part.join(mixed, "g").select("g", "node", "n")
+        chunked = _chunks(part, "g", r + 1)
+        chunked = materialize(chunked.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("g", "chunk"))).where("m > 1").select("g", "chunk", "node"), "chunks")
+        if found is None:
+            other = classes.groupBy("g1").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+            found = _sets_of(docs, classes, chunked.select("node").union(classes.join(other, "g1").select("node")), k)
+        new = materialize(chunked.join(found, "node").groupBy("g", "chunk").applyInArrow(_link_chunk(percent), "a long, b long"), "links")
+        links = new if links is None else links.unionByName(new)
+        release(spark)
     group = components(links).select(F.col("id").alias("node"), F.col("component").alias("grp"))
     nodes = materialize(classes.select("node", "n").join(group, "node", "left").withColumn("grp", F.coalesce("grp", "node")), "nodes")
     release(spark)
@@ -224,38 +266,64 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     # The token-group matrix over the tokens that can decide a link.
     def prefixes(batches):
         for batch in batches:
-            level = rarity.value
-            out_d, out = [], []
-            for s in sets(*binary_parts(batch.column("text")), k):
-                if len(s):
-                    order = np.lexsort((s, level[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-                    out_d.append(node_of(digest(s)))
-                    out.append(s[order[: len(s) - needed(len(s), percent) + 1]].view(np.int64))
-            count = np.array([len(x) for x in out], np.int64)
-            flat = np.concatenate(out) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(out_d, np.int64), count)), pa.array(flat)], names=["node", "token"])
-
-    tokens = docs.select("text").mapInArrow(prefixes, "node long, token long").join(nodes, "node")
-    by_token = Window.partitionBy("token")
-    tokens = tokens.withColumn("lo", F.min("grp").over(by_token)).withColumn("hi", F.max("grp").over(by_token)).where("lo <> hi").select("token", "node", "n", "grp").distinct()
-    tokens = materialize(tokens, "matrix")
+            found = [s for s in sets(*binary_parts(batch.column("text")), k) if len(s)]
+            parts = [s[: taken(len(s), percent)].view(np.int64) for s in found]
+            node = np.repeat(np.array([node_of(digest(s)) for s in found], np.int64), [len(x) for x in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]))], names=["node", "token"])
+
+    tokens = docs.select("text").mapInArrow(prefixes, "node long, token long")
+    by_token, by_node = Window.partitionBy("token"), Window.partitionBy("node")
+    tokens = tokens.withColumn("lo", F.min("node").over(by_token)).withColumn("hi", F.max("node").over(by_token)).where("lo <> hi").select("token", "node").distinct()
+    tokens = materialize(tokens, "tokens").join(nodes, "node").select("token", "node", "n", "grp")
+    release(spark)
+    # Linked sets have l tokens of the matrix in common; a partner may be smaller, down to needed(n) tokens.
+    least = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) * MORE / 100)
+    between = lambda t: t.withColumn("lo", F.min("grp").over(by_token)).withColumn("hi", F.max("grp").over(by_token)).where("lo <> hi")
+    left = between(tokens).groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") >= least)
+    left = materialize(left.select("node"), "left")
+    release(spark)
+    # Now with all tokens of those that are left: a set of which fewer than needed(n) are in other groups goes, and its
+    # tokens no longer count for others.
+    must = F.ceil(F.col("n") * percent / 100)
+    tokens = _wanted(docs, classes, left, k, True).distinct().join(nodes.join(left, "node"), "node").select("token", "node", "n", "grp")
+    for step in range(ROUNDS):
+        tokens = between(tokens).withColumn("c", F.count(F.lit(1)).over(by_node)).where(F.col("c") >= must).select("token", "node", "n", "grp")
+        tokens = materialize(tokens, f"matrix{step}")
+    release(spark)
+    sets_left = _sets_of(docs, classes, tokens.select("node"), k)
+
+    def rarest(t: DataFrame) -> DataFrame:
+        """Of the c tokens that a set has in common with other groups, the c - needed(n) + 1 rarest; those of linked sets meet."""
+        t = between(t.withColumn("df", F.count(F.lit(1)).over(by_token))).withColumn("c", F.count(F.lit(1)).over(by_node)).where(F.col("c") >= must)
+        return t.withColumn("r", F.row_number().over(by_node.orderBy("df", "token"))).where(F.col("r") <= F.col("c") - must + 1)
+
+    # Large families of near copies hang together by a few members that have nothing of their own: each set first asks only
+    # the best covered set of each of its tokens, which joins most families in a number of pairs that grows with their size.
+    for step in range(HUBS):
+        t = materialize(rarest(tokens), f"hubs{step}")
+        hub = t.groupBy("token").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), "node", "n", "grp")).alias("h"))
+        fits = (F.col("grp") != F.col("h.grp")) & (F.col("n") * 100 >= F.col("h.n") * percent) & (F.col("n") * percent <= F.col("h.n") * 100)
+        pairs = materialize(t.join(hub, "token").where(fits).select("node", F.col("h.node").alias("g"), F.lit(0).alias("chunk")).distinct(), "pairs")
+        inside = pairs.select("g", "chunk").distinct().withColumn("node", F.col("g"))
+        links = links.unionByName(materialize(_opened(pairs, inside, sets_left, percent), "links"))
+        group = components(links).select(F.col("id").alias("node"), F.col("component").alias("grp"))
+        tokens = tokens.drop("grp").join(group, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+        tokens = between(tokens).withColumn("c", F.count(F.lit(1)).over(by_node)).where(F.col("c") >= must).select("token", "node", "n", "grp")
+        tokens = materialize(tokens, f"between{step}")
+        nodes = materialize(nodes.select("node", "n").join(group, "node", "left").withColumn("grp", F.coalesce("grp", "node")), "nodes")
+        release(spark)
+    tokens = materialize(rarest(tokens).select("token", "node", "n", "grp"), "asking")
     release(spark)
     members = _chunks(nodes.join(tokens.select("grp").distinct(), "grp", "left_semi"), "grp", 0)
     members = materialize(members, "members")
-    asked = tokens.join(members.select("node", "chunk"), "node")
-    matrix = asked.groupBy("token", F.col("grp").alias("g"), "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = tokens.join(members.select("node", "chunk"), "node").groupBy("token", F.col("grp").alias("g"), "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     fits = (F.col("grp") < F.col("g")) & (F.col("n") * 100 >= F.col("least") * percent) & (F.col("n") * percent <= F.col("most") * 100)
     pairs = materialize(tokens.join(matrix, "token").where(fits).select("node", "g", "chunk").distinct(), "pairs")
     result = links
     if not pairs.isEmpty():
-        opened = pairs.groupBy("g", "chunk").agg(F.ceil(F.count(F.lit(1)) / CHUNK_NODES).cast("int").alias("parts"))
-        inside = members.withColumnRenamed("grp", "g").join(opened, ["g", "chunk"]).select("g", "chunk", "parts", "node")
-        found = _sets_of(docs, classes, pairs.select("node").union(inside.select("node")), k)
-        left = pairs.join(opened, ["g", "chunk"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).join(found, "node").select("g", "chunk", "part", "node", "s")
-        right = inside.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(found, "node").select("g", "chunk", "part", "node", "s")
-        left = left.toDF(*left.columns)
-        more = left.groupBy("g", "chunk", "part").cogroup(right.groupBy("g", "chunk", "part")).applyInArrow(_open_groups(percent), "a long, b long")
-        result = links.unionByName(materialize(more, "opened"))
+        more = members.select("node").join(sets_left.select("node"), "node", "left_anti")
+        found = sets_left.unionByName(_sets_of(docs, classes, more, k))
+        result = links.unionByName(materialize(_opened(pairs, members.withColumnRenamed("grp", "g").select("g", "chunk", "node"), found, percent), "opened"))
         release(spark)
     final = components(result.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     labelled = classes.join(final.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node"))
@@ -267,3 +335,16 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(read(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(r.b) FROM r WHERE r.a = d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+"""

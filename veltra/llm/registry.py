@@ -1,7 +1,7 @@
 """The operators' queries and, where SQL can express them, their SQL."""
 
 from veltra.llm.chaining import op7_chaining
-from veltra.llm.jaccard import op1_jaccard_join
+from veltra.llm.jaccard import OP1_SQL, op1_jaccard_join
 from veltra.llm.media import op8_media
 from veltra.llm.mixing import op10_mixing
 from veltra.llm.quality import op5_quality
@@ -25,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_jaccard_join": OP1_SQL,
     "op6_topk": OP6_SQL,
     "op9_warc": OP9_SQL,
 }
