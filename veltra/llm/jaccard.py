@@ -194,22 +194,28 @@ def _link_chunk(percent: int):
 
 
 def _open_groups(percent: int):
+    def unpack(t: pa.Table):
+        nodes, where = np.unique(t.column("node").to_numpy(), return_index=True)
+        raw, grp = t.column("s").to_pylist(), t.column("grp").to_numpy()
+        return list(zip(nodes.tolist(), grp[where].tolist(), (np.frombuffer(raw[i], np.uint64) for i in where)))
+
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if len(left) and len(right):
-            (asked, queries), (nodes, members) = _unpack(left), _unpack(right)
-            union = np.unique(np.concatenate(members))
-            for q, s in zip(asked.tolist(), queries):
+            members = unpack(right)
+            union = np.unique(np.concatenate([s for *_, s in members]))
+            for q, own, s in unpack(left):
                 at = np.minimum(np.searchsorted(union, s), len(union) - 1)
                 if 100 * np.count_nonzero(union[at] == s) < percent * len(s):
                     continue
-                for node, m in zip(nodes.tolist(), members):
-                    if 100 * min(len(s), len(m)) >= percent * max(len(s), len(m)):
+                linked = {own}  # one link to each component is enough
+                for node, grp, m in members:
+                    if grp not in linked and 100 * min(len(s), len(m)) >= percent * max(len(s), len(m)):
                         at = np.minimum(np.searchsorted(m, s), len(m) - 1)
                         both = np.count_nonzero(m[at] == s)
                         if 100 * both >= percent * (len(s) + len(m) - both):
                             out.append((q, node))
-                            break  # the members are of one component already
+                            linked.add(grp)
         return pa.Table.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
@@ -220,8 +226,8 @@ def _opened(pairs: DataFrame, inside: DataFrame, found: DataFrame, percent: int)
     Many queries of one group are spread over parts, each with the group's sets."""
     opened = pairs.groupBy("g", "chunk").agg(F.ceil(F.count(F.lit(1)) / CHUNK_NODES).cast("int").alias("parts"))
     inside = inside.join(opened, ["g", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = pairs.join(opened, ["g", "chunk"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).join(found, "node").select("g", "chunk", "part", "node", "s")
-    right = inside.join(found, "node").select("g", "chunk", "part", "node", "s")
+    left = pairs.join(opened, ["g", "chunk"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).join(found, "node").select("g", "chunk", "part", "node", "grp", "s")
+    right = inside.join(found, "node").select("g", "chunk", "part", "node", "grp", "s")
     left = left.toDF(*left.columns)
     return left.groupBy("g", "chunk", "part").cogroup(right.groupBy("g", "chunk", "part")).applyInArrow(_open_groups(percent), "a long, b long")
 
@@ -305,7 +311,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
         fits = (F.col("grp") != F.col("h.grp")) & (F.col("n") * 100 >= F.col("h.n") * percent) & (F.col("n") * percent <= F.col("h.n") * 100)
         pairs = materialize(t.join(hub, "token").where(fits).select("node", F.col("h.node").alias("g"), F.lit(0).alias("chunk")).distinct(), "pairs")
         inside = pairs.select("g", "chunk").distinct().withColumn("node", F.col("g"))
-        links = links.unionByName(materialize(_opened(pairs, inside, sets_left, percent), "links"))
+        links = links.unionByName(materialize(_opened(pairs, inside, sets_left.join(nodes.select("node", "grp"), "node"), percent), "links"))
         group = components(links).select(F.col("id").alias("node"), F.col("component").alias("grp"))
         tokens = tokens.drop("grp").join(group, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
         tokens = between(tokens).withColumn("c", F.count(F.lit(1)).over(by_node)).where(F.col("c") >= must).select("token", "node", "n", "grp")
@@ -314,16 +320,16 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
         release(spark)
     tokens = materialize(rarest(tokens).select("token", "node", "n", "grp"), "asking")
     release(spark)
-    members = _chunks(nodes.join(tokens.select("grp").distinct(), "grp", "left_semi"), "grp", 0)
-    members = materialize(members, "members")
-    matrix = tokens.join(members.select("node", "chunk"), "node").groupBy("token", F.col("grp").alias("g"), "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = (F.col("grp") < F.col("g")) & (F.col("n") * 100 >= F.col("least") * percent) & (F.col("n") * percent <= F.col("most") * 100)
+    # Groups again by min-hash, linked or not: sets that are similar without being linked are one group and not many.
+    members = tokens.select("node", "n", "grp").distinct().join(classes.select("node", F.col("g0").alias("g")), "node")
+    members = materialize(_chunks(members, "g", 0), "members")
+    matrix = tokens.join(members.select("node", "g", "chunk"), "node").groupBy("token", "g", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.max("node").alias("last"))
+    fits = ((F.col("lo") != F.col("grp")) | (F.col("hi") != F.col("grp"))) & (F.col("node") < F.col("last")) & (F.col("n") * 100 >= F.col("least") * percent) & (F.col("n") * percent <= F.col("most") * 100)
     pairs = materialize(tokens.join(matrix, "token").where(fits).select("node", "g", "chunk").distinct(), "pairs")
     result = links
     if not pairs.isEmpty():
-        more = members.select("node").join(sets_left.select("node"), "node", "left_anti")
-        found = sets_left.unionByName(_sets_of(docs, classes, more, k))
-        result = links.unionByName(materialize(_opened(pairs, members.withColumnRenamed("grp", "g").select("g", "chunk", "node"), found, percent), "opened"))
+        found = sets_left.join(nodes.select("node", "grp"), "node")
+        result = links.unionByName(materialize(_opened(pairs, members.select("g", "chunk", "node"), found, percent), "opened"))
         release(spark)
     final = components(result.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     labelled = classes.join(final.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node"))
