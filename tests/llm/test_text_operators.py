@@ -186,6 +186,18 @@ def test_chaining_finds_passages_and_leaves_the_rest(spark):
     assert out[7].text is None and out[None].n_removed == 0
 
 
+def test_passages_of_one_pair_are_judged_apart(spark):
+    rnd = random.Random(12)
+    text = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for i, gap in enumerate((60, 100, 140)):
+        head, foot, more = text(60), text(60), gap + 7 * (i % 2)
+        rows += [(10 * i + 1, " ".join(head + text(gap) + foot)), (10 * i + 2, " ".join(text(9) + head + text(more) + foot + text(30)))]
+        want[10 * i + 2] = [(9, 69), (69 + more, 129 + more)]
+    out = {r.doc_id: r for r in chaining.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: [(s.lo, s.hi) for s in r.removed] for i, r in out.items() if r.n_removed} == want
+
+
 def test_chain_scores_match_quadratic_search():
     rnd = random.Random(1)
     for _ in range(60):
