@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veltra.llm import chaining, jaccard, media, mixing, quality, sentencepiece_bpe, suffix_dedup, toxicity
-from veltra.llm._util import binary_parts
+from veltra.llm._util import binary_parts, mix64
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component long, lo long, spans string, n long"
@@ -198,6 +198,18 @@ def test_passages_of_one_pair_are_judged_apart(spark):
     assert {i: [(s.lo, s.hi) for s in r.removed] for i, r in out.items() if r.n_removed} == want
 
 
+def test_passage_of_frequent_seeds_is_found(spark):
+    rnd = random.Random(13)
+    text = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passage = text(120)
+    parts = [passage[a : a + 24] for a in range(0, 97, 12)]  # every 12 words or fewer of the passage, each in other documents
+    rows = [(base + i, text(40) + part + text(40)) for base in (1, 61) for i, part in enumerate(parts)]
+    rows += [(50, text(70) + passage + text(20)), (100, text(30) + passage + text(45) + passage)]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
+    out = {r.doc_id: [(s.lo, s.hi) for s in r.removed] for r in chaining.dedup(df).collect() if r.n_removed}
+    assert out == {100: [(30, 150), (195, 315)]}
+
+
 def test_chain_scores_match_quadratic_search():
     rnd = random.Random(1)
     for _ in range(60):
