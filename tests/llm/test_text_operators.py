@@ -210,6 +210,45 @@ def test_passage_of_frequent_seeds_is_found(spark):
     assert out == {100: [(30, 150), (195, 315)]}
 
 
+def agreeing(a, b, least=50, percent=80):
+    """Which words of b lie in a range of least words or more that agrees with a's on a diagonal, by trying all ranges."""
+    hit = np.zeros(len(b), bool)
+    for d in range(least - len(a), len(b) - least + 1):
+        lo, hi = max(0, d), min(len(b), len(a) + d)
+        sums = np.concatenate([[0], np.cumsum([100 * (b[i] == a[i - d]) - percent for i in range(lo, hi)])])
+        for x in range(hi - lo - least + 1):
+            ok = np.flatnonzero(sums[x + least :] >= sums[x])
+            if len(ok):
+                hit[lo + x : lo + x + least + int(ok[-1])] = True
+    return hit
+
+
+def test_edited_passages_against_brute_force(spark):
+    rnd = random.Random(14)
+    text = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    line = text(9)
+    edited = lambda x, share: [w if rnd.random() >= share else f"e{rnd.randrange(10**6)}" for w in x]
+    every = lambda x, k: [w if i % k != k - 1 else f"e{i}" for i, w in enumerate(x)]
+    edits = [lambda x, s=s: edited(x, s) for s in (0.05, 0.1, 0.15, 0.2, 0.5) for _ in range(8)] + [lambda x, k=k: every(x, k) for k in (5, 6, 7, 8)]
+    pairs = []
+    for i, edit in enumerate(edits):
+        one, two = text(52 + i % 9 * 6), text(100)
+        pairs.append((one + line + text(60) + two + text(9), text(i) + edit(one) + text(47) + line + edit(two) + text(20)))
+    rows = [(2 * i + j, " ".join(x)) for i, p in enumerate(pairs) for j, x in enumerate(p)]
+    out = {r.doc_id: r for r in chaining.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = want = 0
+    for i, (a, b) in enumerate(pairs):
+        brute, got = agreeing(a, b), np.zeros(len(b), bool)
+        for s in out[2 * i + 1].removed:
+            got[s.lo : s.hi] = True
+        assert not (got & ~brute).any() and not out[2 * i].n_removed
+        # Runs of agreeing ranges are passages; one is found if most of it went. What is left of one may be no passage by itself.
+        for x, y in zip(np.flatnonzero(np.diff(np.append(False, brute).astype(int)) == 1), np.flatnonzero(np.diff(np.append(brute, False).astype(int)) == -1) + 1):
+            want += 1
+            found += got[x:y].mean() >= 0.7
+    assert want > 60 and found >= 0.97 * want
+
+
 def test_chain_scores_match_quadratic_search():
     rnd = random.Random(1)
     for _ in range(60):
