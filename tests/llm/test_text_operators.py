@@ -249,6 +249,12 @@ def test_edited_passages_against_brute_force(spark):
     assert want > 60 and found >= 0.97 * want
 
 
+def test_seeds_of_a_very_long_text():
+    n = (1 << 22) + 100
+    h, text, place = chaining.seeds(mix64(np.arange(n, dtype=np.uint64)), np.array([0, n]))
+    assert int(place.max()) >= 1 << 22 and not text.any()
+
+
 def test_chain_scores_match_quadratic_search():
     rnd = random.Random(1)
     for _ in range(60):
