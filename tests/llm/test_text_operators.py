@@ -309,6 +309,19 @@ def test_chunk_cuts_follow_content():
     assert all(y - x <= media.MOST for x, y in zip([0, *sorted(ends)], sorted(ends)))
 
 
+def test_small_payloads_share_chunks():
+    rnd = random.Random(15)
+    text = lambda n: bytes(rnd.choice(b"abcdefgh ") for _ in range(n))
+    stored = shared = 0
+    for _ in range(40):
+        passage = text(2500)
+        one, two = (media.padded(x) for x in (text(400) + passage, text(700) + passage + text(200)))
+        first, second = ({p[a:b] for a, b in zip([0, *media.cuts(p)], media.cuts(p))} for p in (one, two))
+        stored += len(passage)
+        shared += sum(map(len, first & second))
+    assert shared > 0.3 * stored
+
+
 def test_mix(docs):
     rows = mixing.mix(docs).collect()
     size = collections.Counter()

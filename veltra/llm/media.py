@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from veltra.llm._util import BYTE_HASH, arrow_rows, binary_parts, materialize, read, release
 
 FRAME = 576
-LEAST, MOST = 1 << 12, 1 << 16
+#: Least and largest bytes of a chunk, and zero bits of the hash at a cut: most payloads have under 4096 bytes.
+LEAST, MOST, CUT_BITS = 1 << 8, 1 << 14, 10
 GEAR = (BYTE_HASH >> np.uint64(32)).astype(np.uint32)
 STEP = 4 << 20
 #: The compression dictionary: its bytes, and the rows (by hash of their text) and characters of each that it is trained on.
@@ -46,7 +47,7 @@ def cuts(payload: bytes) -> list[int]:
         h = GEAR[data[begin : lo + STEP]]
         for k in (1, 2, 4, 8, 16):
             h[k:] += h[:-k] << np.uint32(k)
-        found.append(np.flatnonzero((h[lo - begin :] >> np.uint32(19)) == 0) + lo + 1)
+        found.append(np.flatnonzero((h[lo - begin :] >> np.uint32(32 - CUT_BITS)) == 0) + lo + 1)
     out, last = [], 0
     for c in np.concatenate(found).tolist():
         while c - last > MOST:
