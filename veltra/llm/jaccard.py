@@ -1,17 +1,22 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Every document is its set of distinct k-word shingles; equal sets are one node. Nodes are put into groups of similar
-sets: those that agree on two min-hashes meet in bounded chunks, where a product of their token matrix gives all overlaps,
-and linked nodes form a group (two rounds with other hashes and other chunks, so that parts of a large group meet). The
-token-group matrix holds, for every token that may decide a link, the groups whose union has it. First every set brings
-the tokens that come first by hash: of n tokens n - ceil(t n) + l, of which linked sets share l for a similarity t. A set
-of which fewer than l are in other groups is linked to none of them. Those left bring all their tokens: at least
-ceil(t n) must be in other groups, which bounds the overlap with all of them together, and sets that go take their tokens
-with them. The rarest c - ceil(t n) + 1 of the c tokens that a set has in common with other groups then name the groups
-that it asks. Where its overlap with the union of such a group could reach t, the group is opened and its sets are
-compared. All links between groups are found so, which makes the components exact; pairs within a group are not listed.
-
-Words and shingles are compared by 64-bit hashes and sets by 128-bit digests of these; nodes carry 64 bits of theirs.
+Every document is its set of distinct k-word shingles; equal sets are one node. Of two linked sets of n <= m tokens with a
+similarity t the smaller has at least 2 t n / (1 + t) tokens in common with the larger, and the larger at least t m with
+the smaller. A first pass takes the tokens that come first by hash: of n tokens n - ceil(t n) + l, of which linked sets share
+l. Sets with fewer than l that occur in another set are linked with nothing.
+
+The sets left are linked where they agree on two min-hashes, in bounded chunks by a product of their token matrix, which
+makes most components. Then a set's tokens count only where another component has them, c of n. The slack c (1 + t) - 2 t n
+of two linked sets is 0 or more in sum, so a token that only sets of too little slack have doesn't count either, and sets with
+less than ceil(t n) go; this is done ``ROUNDS`` times. What is left is partitioned into groups of similar sets: by
+the most common token of a set, then by min-hash, each of bounded size. The token-group matrix holds the groups of each token, and a group's
+stored union all its tokens with the components that have them. The smaller set of a link asks: the groups of its rarest
+tokens (c - 2 t n / (1 + t) + 1 of them, one of which linked sets share); the overlap with the stored union bounds
+what any set of the group can share with it, and only groups that could reach t are opened and compared. All links
+between components are found so, which makes the components exact; pairs within a component are not listed.
+
+Words and shingles are compared by 64-bit hashes and sets by 128-bit digests of these; nodes carry 64 bits of theirs. Tokens
+that very many sets have meet in aggregates and joins only, which combine or split them, never in one task.
 
 Defined results: null and empty texts and those without words have the empty set, are linked with nothing and are their own
 component; texts with fewer than k words have one shingle; repeated rows are linked (equal sets) and get rows of their own;
@@ -25,22 +30,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veltra.llm._util import BYTE_HASH_LOWER, GOLDEN, arrow_rows, binary_parts, components, materialize, mix64, read, release, shingle_hashes, slices, span_hashes, word_spans
 
-#: Bits of the bitmap that tells which documents' sets are wanted, and rows of it that a task sends.
-BITS, PARTS = 1 << 25, 16
 #: Percent of a set's tokens that are taken beyond those that must be, to have l of them in common.
 MORE = 10
-#: Times that sets without enough tokens in other groups are taken out of the matrix.
+#: Times that sets without enough tokens in other components are taken out of the matrix.
 ROUNDS = 3
-#: Times that sets ask only the best covered set of their tokens, before they ask all groups.
-HUBS = 2
-#: Most nodes and tokens that are compared in one chunk or group.
-CHUNK_NODES, CHUNK_TOKENS = 256, 1 << 20
+#: Most nodes of a chunk that is compared by a matrix product, most tokens of a chunk or group, and queries answered together.
+CHUNK_NODES, CHUNK_TOKENS, QUERIES = 256, 1 << 20, 256
 SEEDS = mix64(np.arange(4, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(7))
 
 
@@ -87,62 +87,47 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
                 d = digest(s)
                 rows.append((len(s), d, node_of(d), *g))
             values = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(x, t) for x, t in zip(values, kinds))], names=["doc_id", "key", "n", "d", "node", "g0", "g1"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *(pa.array(x, t) for x, t in zip(values, kinds))], names=["doc_id", "th", "n", "d", "node", "g0", "g1"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n long, d binary, node long, g0 long, g1 long")
+    return docs.mapInArrow(run, "doc_id long, th long, n long, d binary, node long, g0 long, g1 long")
 
 
-def _bits(keys: DataFrame) -> bytes:
-    """A bitmap of BITS bits with those set that a column of keys hashes to; parts stream through their task."""
+def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(token, node): the tokens of each text's set that come first by hash."""
 
-    def where(x):
-        return mix64(x.view(np.uint64)) & np.uint64(BITS - 1)
-
-    def mark(batches):
-        bits = np.zeros(BITS, bool)
-        for batch in batches:
-            bits[where(batch.column(0).to_numpy())] = True
-        packed = np.packbits(bits).reshape(PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array([zstandard.compress(x.tobytes(), 1) for x in packed], pa.binary())], names=["n", "d"])
-
-    def merge(batches):
-        parts = {}
+    def run(batches):
         for batch in batches:
-            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts[n] = parts.get(n, 0) | np.frombuffer(zstandard.decompress(raw), np.uint8)
-        for n, x in parts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["n", "d"])
+            found = [s for s in sets(*binary_parts(batch.column("text")), k) if len(s)]
+            parts = [s[: taken(len(s), percent)].view(np.int64) for s in found]
+            node = np.repeat(np.array([node_of(digest(s)) for s in found], np.int64), [len(x) for x in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]))], names=["node", "token"])
 
-    rows = keys.mapInArrow(mark, "n long, d binary").repartition(PARTS, "n").mapInArrow(merge, "n long, d binary").collect()
-    out = np.zeros((PARTS, BITS // 8 // PARTS), np.uint8)
-    for r in rows:
-        out[r["n"]] = np.frombuffer(r["d"], np.uint8)
-    return out.tobytes()
+    return docs.select("text").mapInArrow(run, "node long, token long")
 
 
-def _wanted(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int, as_tokens: bool = False) -> DataFrame:
-    """(node, s): the sets of nodes (node), or (node, token) by token, computed again from the text of their smallest
-    document. A bitmap of fixed size lets few other documents through, whose rows find no partner in the joins that follow."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_bits(classes.join(nodes.distinct(), "node").select("key")))
+def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, s): the sets of the documents whose text hashes are wanted, computed again from their texts."""
 
     def run(batches):
-        bits = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            at = (mix64(batch.column("key").to_numpy().view(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
-            rows = np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
-            found = [s for s in sets(*binary_parts(batch.column("text").take(pa.array(rows))), k) if len(s)]
-            node = np.array([node_of(digest(s)) for s in found], np.int64)
-            if as_tokens:
-                flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, [len(s) for s in found])), pa.array(flat)], names=["node", "token"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "s"])
+            found = [s for s in sets(*binary_parts(batch.column("text")), k) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(digest(s)) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "s"])
+
+    texts = docs.select("doc_id", "th", "text").join(wanted, [F.col("th") == F.col("w_th"), F.col("doc_id").eqNullSafe(F.col("w_id"))], "left_semi")
+    return texts.select("text").mapInArrow(run, "node long, s binary")
 
-    return docs.select("key", "text").mapInArrow(run, "node long, token long" if as_tokens else "node long, s binary")
 
+def _flat(found: DataFrame) -> DataFrame:
+    """(token, node, n, grp) of the sets found (node, n, grp, s)."""
 
-def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    return materialize(_wanted(docs, classes, nodes, k), "sets")
+    def run(batches):
+        for batch in batches:
+            raw = [np.frombuffer(x, np.int64) for x in batch.column("s").to_pylist()]
+            size = [len(x) for x in raw]
+            columns = [np.concatenate([*raw, np.zeros(0, np.int64)]), *(np.repeat(batch.column(c).to_numpy(), size) for c in ("node", "n", "grp"))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["token", "node", "n", "grp"])
+
+    return found.select("node", "n", "grp", "s").mapInArrow(run, "token long, node long, n long, grp long")
 
 
 def _unpack(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -193,154 +178,194 @@ def _link_chunk(percent: int):
     return run
 
 
+def _union(table: pa.Table) -> pa.Table:
+    """A group's token union: its tokens in order, each with the smallest and the largest component that has it."""
+    raw = [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()]
+    flat, grp = np.concatenate(raw), np.repeat(table.column("grp").to_numpy(), [len(x) for x in raw])
+    by = np.lexsort((grp, flat))
+    flat, grp = flat[by], grp[by]
+    first = np.concatenate([[True], flat[1:] != flat[:-1]])
+    last = np.append(first[1:], True)
+    arrays = [table.column("g")[:1], table.column("chunk")[:1], *(pa.array([x.tobytes()], pa.binary()) for x in (flat[first], grp[first], grp[last]))]
+    return pa.Table.from_arrays(arrays, names=["g", "chunk", "u", "lo", "hi"])
+
+
+def covered(s: np.ndarray, own: int, union: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> int:
+    """How many tokens of s the group's union has from another component than own: none of its sets shares more."""
+    at = np.minimum(np.searchsorted(union, s), len(union) - 1)
+    return int(np.count_nonzero((union[at] == s) & ((lo[at] != own) | (hi[at] != own))))
+
+
+def _bounded(percent: int):
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        keep = []
+        if len(left) and len(right):
+            u, lo, hi = (np.frombuffer(right.column(c)[0].as_py(), t) for c, t in (("u", np.uint64), ("lo", np.int64), ("hi", np.int64)))
+            for i, (own, raw) in enumerate(zip(left.column("grp").to_pylist(), left.column("s").to_pylist())):
+                s = np.frombuffer(raw, np.uint64)
+                if covered(s, own, u, lo, hi) * (100 + percent) >= 2 * percent * len(s):
+                    keep.append(i)
+        return left.select(["g", "chunk", "node"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
 def _open_groups(percent: int):
-    def unpack(t: pa.Table):
-        nodes, where = np.unique(t.column("node").to_numpy(), return_index=True)
-        raw, grp = t.column("s").to_pylist(), t.column("grp").to_numpy()
-        return list(zip(nodes.tolist(), grp[where].tolist(), (np.frombuffer(raw[i], np.uint64) for i in where)))
+    """Links of queries (node, grp, s) with the larger sets (node, grp, s) of a group, one for each pair of components."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if len(left) and len(right):
-            members = unpack(right)
-            union = np.unique(np.concatenate([s for *_, s in members]))
-            for q, own, s in unpack(left):
-                at = np.minimum(np.searchsorted(union, s), len(union) - 1)
-                if 100 * np.count_nonzero(union[at] == s) < percent * len(s):
+            nodes, group = _unpack(right)
+            grps = dict(zip(right.column("node").to_pylist(), right.column("grp").to_pylist()))
+            grp = np.array([grps[x] for x in nodes.tolist()])
+            size = np.array([len(s) for s in group])
+            at = np.cumsum(size) - size
+            tokens, column = np.unique(np.concatenate(group), return_inverse=True)
+            by = np.argsort(column, kind="stable")
+            member = np.repeat(np.arange(len(group)), size)[by]
+            posting = np.searchsorted(column[by], np.arange(len(tokens) + 1))
+            mark = np.zeros(len(tokens), bool)
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.get(x, x) != x:
+                    root[x] = x = root.get(root[x], root[x])
+                return x
+
+            for q, own, raw in zip(left.column("node").to_pylist(), left.column("grp").to_pylist(), left.column("s").to_pylist()):
+                s = np.frombuffer(raw, np.uint64)
+                n = len(s)
+                where = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+                where = where[tokens[where] == s]
+                budget = len(where) - -(-2 * percent * n // (100 + percent))
+                if budget < 0:
                     continue
-                linked = {own}  # one link to each component is enough
-                for node, grp, m in members:
-                    if grp not in linked and 100 * min(len(s), len(m)) >= percent * max(len(s), len(m)):
-                        at = np.minimum(np.searchsorted(m, s), len(m) - 1)
-                        both = np.count_nonzero(m[at] == s)
-                        if 100 * both >= percent * (len(s) + len(m) - both):
-                            out.append((q, node))
-                            linked.add(grp)
+                # The rarest tokens here, one of which each set linked with this one has.
+                count = posting[where + 1] - posting[where]
+                rare = where[np.argsort(count, kind="stable")[: budget + 1]]
+                near = np.unique(np.concatenate([member[posting[x] : posting[x + 1]] for x in rare.tolist()]))
+                near = near[(grp[near] != own) & ((size[near] > n) | ((size[near] == n) & (nodes[near] > q))) & (100 * n >= percent * size[near])]
+                if not len(near):
+                    continue
+                mark[where] = True
+                width = size[near]
+                first = np.cumsum(width) - width
+                both = np.add.reduceat(mark[column[np.arange(width.sum()) + np.repeat(at[near] - first, width)]].astype(np.int64), first)
+                mark[where] = False
+                for i in near[100 * both >= percent * (n + width - both)].tolist():
+                    a, b = find(own), find(int(grp[i]))
+                    if a != b:  # one link of two components is enough
+                        out.append((q, int(nodes[i])))
+                        root[max(a, b)] = min(a, b)
         return pa.Table.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _opened(pairs: DataFrame, inside: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Links of the queries of pairs (node, g, chunk) with the sets inside (g, chunk, node) of the groups that they name.
-    Many queries of one group are spread over parts, each with the group's sets."""
-    opened = pairs.groupBy("g", "chunk").agg(F.ceil(F.count(F.lit(1)) / CHUNK_NODES).cast("int").alias("parts"))
-    inside = inside.join(opened, ["g", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = pairs.join(opened, ["g", "chunk"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).join(found, "node").select("g", "chunk", "part", "node", "grp", "s")
-    right = inside.join(found, "node").select("g", "chunk", "part", "node", "grp", "s")
-    left = left.toDF(*left.columns)
-    return left.groupBy("g", "chunk", "part").cogroup(right.groupBy("g", "chunk", "part")).applyInArrow(_open_groups(percent), "a long, b long")
+def _asked(pairs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries of pairs (node, g, chunk) with their sets, many of one group dealt over parts, and the parts of each group."""
+    opened = pairs.groupBy("g", "chunk").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
+    left = pairs.join(opened, ["g", "chunk"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).join(found, "node")
+    parts = opened.select("g", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    columns = ["g", "chunk", "part", "node", "grp", "s"]
+    return left.select(*columns).toDF(*columns), parts  # new attributes, as the other side of the cogroup has the same tables
 
 
-def _chunks(rows: DataFrame, key: str, salt: int) -> DataFrame:
-    """rows (key, node, n) with chunk: as many per key as its nodes and tokens need."""
-    count = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_t"))
-    parts = F.greatest(F.ceil(F.col("_c") / CHUNK_NODES), F.ceil(F.col("_t") / CHUNK_TOKENS))
-    return rows.join(count, key).where("_c > 1" if salt else "true").withColumn("chunk", F.pmod(F.xxhash64(F.lit(salt), "node"), parts).cast("int")).drop("_c", "_t")
+def _chunks(rows: DataFrame, keys: list[str], nodes: int | None, salt: int) -> DataFrame:
+    """rows (keys, node, n) with chunk: as many per key as its nodes and tokens need; keys of one node go if nodes bounds a chunk."""
+    count = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_t"))
+    parts = F.ceil(F.col("_t") / CHUNK_TOKENS)
+    if nodes:
+        count, parts = count.where("_c > 1"), F.greatest(F.ceil(F.col("_c") / nodes), parts)
+    return rows.join(count, keys).withColumn("chunk", F.pmod(F.xxhash64(F.lit(salt), "node"), parts).cast("int")).drop("_c", "_t")
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row: documents link when their sets' Jaccard similarity is percent / 100 or more."""
+    """(doc_id, n_shingles, component_id, th, first) of each row: documents link when their sets' Jaccard similarity is
+    percent / 100 or more. th is xxhash64 of the text; first marks the rows of a component's smallest (doc_id, th), null ids last."""
     spark = docs.sparkSession
     arrow_rows(spark, 1000)
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    docs = docs.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     rows = materialize(_profile(docs, k), "profile")
-    classes = rows.where("n > 0").groupBy("d").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("g0").alias("g0"), F.first("g1").alias("g1"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")
+    classes = rows.where("n > 0").groupBy("d").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "node", "g0", "g1")])
     classes = materialize(classes, "classes")
 
-    # Groups of similar sets: the second round only takes chunks that the first hasn't linked as a whole.
-    links = found = None
-    for r in (0, 1):
-        part = classes.select(F.col(f"g{r}").alias("g"), "node", "n")
-        if r:
-            part = part.join(components(links).select(F.col("id").alias("node"), "component"), "node", "left").withColumn("c", F.coalesce("component", "node"))
-            mixed = part.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
-            part = part.join(mixed, "g").select("g", "node", "n")
-        chunked = _chunks(part, "g", r + 1)
-        chunked = materialize(chunked.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("g", "chunk"))).where("m > 1").select("g", "chunk", "node"), "chunks")
-        if found is None:
-            other = classes.groupBy("g1").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-            found = _sets_of(docs, classes, chunked.select("node").union(classes.join(other, "g1").select("node")), k)
-        new = materialize(chunked.join(found, "node").groupBy("g", "chunk").applyInArrow(_link_chunk(percent), "a long, b long"), "links")
-        links = new if links is None else links.unionByName(new)
-        release(spark)
+    # Sets of which at least l prefix tokens occur in another set; copies of a set bring its tokens as often as there are copies.
+    shared = _prefixes(docs, k, percent).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
+    shared = materialize(shared, "shared")
+    release(spark)
+    count = _prefixes(docs, k, percent).join(shared, "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+    l = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) * MORE / 100)  # noqa: E741
+    near = materialize(count.join(classes, "node").where(F.col("c") >= l * F.col("copies")).select("node", "n", "g0", "g1", F.col("first.doc_id").alias("w_id"), F.col("first.th").alias("w_th")), "near")
+    release(spark)
+    found = _sets_of(docs, near.select("w_id", "w_th"), k).dropDuplicates(["node"])
+    found = materialize(found.join(near.drop("w_id", "w_th"), "node"), "sets")
+    release(spark)
+
+    # Links of sets that agree on two min-hashes; the second pair of hashes has other chunks, so that parts of a large family meet.
+    chunked = [_chunks(found.select(F.lit(r).alias("r"), F.col(f"g{r}").alias("g"), "node", "n"), ["r", "g"], CHUNK_NODES, r + 1) for r in (0, 1)]
+    chunked = chunked[0].unionByName(chunked[1]).join(found.select("node", "s"), "node").select("r", "g", "chunk", "node", "s")
+    links = materialize(chunked.groupBy("r", "g", "chunk").applyInArrow(_link_chunk(percent), "a long, b long"), "links")
     group = components(links).select(F.col("id").alias("node"), F.col("component").alias("grp"))
-    nodes = materialize(classes.select("node", "n").join(group, "node", "left").withColumn("grp", F.coalesce("grp", "node")), "nodes")
+    found = materialize(found.join(group, "node", "left").withColumn("grp", F.coalesce("grp", "node")), "grouped")
     release(spark)
 
-    # The token-group matrix over the tokens that can decide a link.
-    def prefixes(batches):
-        for batch in batches:
-            found = [s for s in sets(*binary_parts(batch.column("text")), k) if len(s)]
-            parts = [s[: taken(len(s), percent)].view(np.int64) for s in found]
-            node = np.repeat(np.array([node_of(digest(s)) for s in found], np.int64), [len(x) for x in parts])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]))], names=["node", "token"])
+    must, slack = F.ceil(F.col("n") * percent / 100), F.col("c") * (100 + percent) - F.col("n") * 2 * percent
+    by_node = Window.partitionBy("node")  # at most a document's set
 
-    tokens = docs.select("text").mapInArrow(prefixes, "node long, token long")
-    by_token, by_node = Window.partitionBy("token"), Window.partitionBy("node")
-    tokens = tokens.withColumn("lo", F.min("node").over(by_token)).withColumn("hi", F.max("node").over(by_token)).where("lo <> hi").select("token", "node").distinct()
-    tokens = materialize(tokens, "tokens").join(nodes, "node").select("token", "node", "n", "grp")
-    release(spark)
-    # Linked sets have l tokens of the matrix in common; a partner may be smaller, down to needed(n) tokens.
-    least = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) * MORE / 100)
-    between = lambda t: t.withColumn("lo", F.min("grp").over(by_token)).withColumn("hi", F.max("grp").over(by_token)).where("lo <> hi")
-    left = between(tokens).groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") >= least)
-    left = materialize(left.select("node"), "left")
-    release(spark)
-    # Now with all tokens of those that are left: a set of which fewer than needed(n) are in other groups goes, and its
-    # tokens no longer count for others.
-    must = F.ceil(F.col("n") * percent / 100)
-    tokens = _wanted(docs, classes, left, k, True).distinct().join(nodes.join(left, "node"), "node").select("token", "node", "n", "grp")
+    def between(tokens: DataFrame) -> DataFrame:
+        """The tokens that another component has in sets of enough slack, counted; sets with too few of them go."""
+        other = tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.max(slack).alias("best"), F.count(F.lit(1)).alias("df")).where("lo <> hi")
+        return tokens.join(other, "token").where(slack + F.col("best") >= 0).withColumn("c", F.count(F.lit(1)).over(by_node)).where(F.col("c") >= must)
+
+    tokens = _flat(found).withColumn("c", F.col("n"))
     for step in range(ROUNDS):
-        tokens = between(tokens).withColumn("c", F.count(F.lit(1)).over(by_node)).where(F.col("c") >= must).select("token", "node", "n", "grp")
-        tokens = materialize(tokens, f"matrix{step}")
-    release(spark)
-    sets_left = _sets_of(docs, classes, tokens.select("node"), k)
-
-    def rarest(t: DataFrame) -> DataFrame:
-        """Of the c tokens that a set has in common with other groups, the c - needed(n) + 1 rarest; those of linked sets meet."""
-        t = between(t.withColumn("df", F.count(F.lit(1)).over(by_token))).withColumn("c", F.count(F.lit(1)).over(by_node)).where(F.col("c") >= must)
-        return t.withColumn("r", F.row_number().over(by_node.orderBy("df", "token"))).where(F.col("r") <= F.col("c") - must + 1)
-
-    # Large families of near copies hang together by a few members that have nothing of their own: each set first asks only
-    # the best covered set of each of its tokens, which joins most families in a number of pairs that grows with their size.
-    for step in range(HUBS):
-        t = materialize(rarest(tokens), f"hubs{step}")
-        hub = t.groupBy("token").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), "node", "n", "grp")).alias("h"))
-        fits = (F.col("grp") != F.col("h.grp")) & (F.col("n") * 100 >= F.col("h.n") * percent) & (F.col("n") * percent <= F.col("h.n") * 100)
-        pairs = materialize(t.join(hub, "token").where(fits).select("node", F.col("h.node").alias("g"), F.lit(0).alias("chunk")).distinct(), "pairs")
-        inside = pairs.select("g", "chunk").distinct().withColumn("node", F.col("g"))
-        links = links.unionByName(materialize(_opened(pairs, inside, sets_left.join(nodes.select("node", "grp"), "node"), percent), "links"))
-        group = components(links).select(F.col("id").alias("node"), F.col("component").alias("grp"))
-        tokens = tokens.drop("grp").join(group, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-        tokens = between(tokens).withColumn("c", F.count(F.lit(1)).over(by_node)).where(F.col("c") >= must).select("token", "node", "n", "grp")
-        tokens = materialize(tokens, f"between{step}")
-        nodes = materialize(nodes.select("node", "n").join(group, "node", "left").withColumn("grp", F.coalesce("grp", "node")), "nodes")
+        tokens = materialize(between(tokens).select("token", "node", "n", "grp", "c"), f"matrix{step}")
         release(spark)
-    tokens = materialize(rarest(tokens).select("token", "node", "n", "grp"), "asking")
+    # Of the c tokens that a set has in common with others the c - ceil(t n) + 1 rarest, and its most common one.
+    asking = between(tokens).withColumn("g", F.max(F.struct("df", "token")).over(by_node)["token"]).withColumn("nth", F.row_number().over(by_node.orderBy("df", "token")))
+    asking = materialize(asking.where(F.col("nth") <= F.col("c") - must + 1).select("token", "node", "n", "grp", "c", "g", "nth"), "asking")
+    release(spark)
+    # Groups of similar sets, linked or not: one common token, then one min-hash, then what fits.
+    members = asking.where("nth = 1").select("g", "node", "n", "grp").join(found.select("node", "g0"), "node")
+    parts = members.groupBy("g").agg(F.ceil(F.sum("n") / CHUNK_TOKENS).alias("parts"))
+    members = members.join(parts, "g").select(F.xxhash64("g", F.pmod("g0", "parts")).alias("g"), "node", "n", "grp")
+    members = materialize(_chunks(members, ["g"], None, 0), "members")
+    held = asking.drop("g").join(members.select("node", "g", "chunk"), "node")
+    matrix = held.groupBy("token", "g", "chunk").agg(
+        F.min("n").alias("least"), F.max(F.struct("n", "node")).alias("last"), F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.max(slack).alias("best")
+    )
+    fits = ((F.col("lo") != F.col("grp")) | (F.col("hi") != F.col("grp"))) & (F.struct("n", "node") < F.col("last")) & (F.col("n") * 100 >= F.col("least") * percent) & (slack + F.col("best") >= 0)
+    asks = asking.where((F.col("nth") - 1) * (100 + percent) <= slack).drop("g")
+    pairs = materialize(asks.join(matrix, "token").where(fits).select("node", "g", "chunk").distinct(), "pairs")
     release(spark)
-    # Groups again by min-hash, linked or not: sets that are similar without being linked are one group and not many.
-    members = tokens.select("node", "n", "grp").distinct().join(classes.select("node", F.col("g0").alias("g")), "node")
-    members = materialize(_chunks(members, "g", 0), "members")
-    matrix = tokens.join(members.select("node", "g", "chunk"), "node").groupBy("token", "g", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.max("node").alias("last"))
-    fits = ((F.col("lo") != F.col("grp")) | (F.col("hi") != F.col("grp"))) & (F.col("node") < F.col("last")) & (F.col("n") * 100 >= F.col("least") * percent) & (F.col("n") * percent <= F.col("most") * 100)
-    pairs = materialize(tokens.join(matrix, "token").where(fits).select("node", "g", "chunk").distinct(), "pairs")
-    result = links
+    labels = found.select("node", F.col("grp").alias("c"))
     if not pairs.isEmpty():
-        found = sets_left.join(nodes.select("node", "grp"), "node")
-        result = links.unionByName(materialize(_opened(pairs, members.select("g", "chunk", "node"), found, percent), "opened"))
+        known = found.select("node", "grp", "s")
+        inside = members.select("g", "chunk", "node")
+        unions = inside.join(pairs.select("g", "chunk").distinct(), ["g", "chunk"], "left_semi").join(known, "node").groupBy("g", "chunk").applyInArrow(_union, "g long, chunk int, u binary, lo binary, hi binary")
+        left, parts = _asked(pairs, known)
+        right = parts.join(materialize(unions, "unions"), ["g", "chunk"])
+        pairs = materialize(left.groupBy("g", "chunk", "part").cogroup(right.groupBy("g", "chunk", "part")).applyInArrow(_bounded(percent), "g long, chunk int, node long"), "bounded")
+        left, parts = _asked(pairs, known)
+        right = parts.join(inside, ["g", "chunk"]).join(known, "node").select("g", "chunk", "part", "node", "grp", "s")
+        opened = left.groupBy("g", "chunk", "part").cogroup(right.groupBy("g", "chunk", "part")).applyInArrow(_open_groups(percent), "a long, b long")
+        opened = opened.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        final = components(opened)
+        labels = labels.join(final.withColumnRenamed("id", "c"), "c", "left").select("node", F.coalesce("component", "c").alias("c"))
         release(spark)
-    final = components(result.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    labelled = classes.join(final.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node"))
-    least = labelled.groupBy("c").agg(F.min("first").alias("component_id"))
-    named = materialize(labelled.join(least, "c").select(F.col("d").alias("_d"), "component_id"), "named")
+    labelled = classes.select("d", "node", "first").join(labels, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    least = labelled.groupBy("c").agg(F.min("first").alias("first"))
+    named = materialize(labelled.drop("first").join(least, "c").select(F.col("d").alias("_d"), "first"), "named")
     out = rows.join(named, F.col("d") == F.col("_d"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "th", F.coalesce(own, F.lit(True)).alias("first"))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(read(spark, sf_dir, "documents"), k=3, percent=90)
+    return join(read(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 OP1_SQL = r"""
