@@ -1,14 +1,17 @@
 import random
+from dataclasses import replace
 
 import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from veltra.errors import CatalogError
 from veltra.functions import keys as K
 from veltra.operators import kv, levels
 from veltra.sources import arrow_ipc, sorted_files, wal
+from veltra.sources.wal import Wal
 from veltra.streaming import limiter, tail
 
 
@@ -56,12 +59,22 @@ def test_order_check(spark):
     assert {r.at for r in kv.out_of_order(df, "f", "at", strict=False).collect()} == {4}
 
 
-@given(st.binary(max_size=6), st.binary(max_size=6))
-def test_separator_and_successor(a, b):
-    if a < b:
-        x = K.shortest_between(a, b)
-        assert a <= x < b and len(x) <= max(len(a), 1)
-    assert K.shortest_after(a) >= a and len(K.shortest_after(a)) <= len(a)
+def test_separator_and_successor(spark):
+    rnd = random.Random(4)
+    some = lambda: bytes(rnd.choice(b"\x00\x01ab\xfe\xff") for _ in range(rnd.randrange(5)))
+    pairs = [(some(), some()) for _ in range(600)] + [(b"abc", b"abd"), (b"a\xff\xff", b"b"), (b"", b""), (b"\xff\xff", b"\xff\xff"), (b"a", None), (None, b"a")]
+    df = spark.createDataFrame(pairs, "a binary, b binary").select("a", "b", K.separator(F.col("a"), F.col("b")).alias("x"), K.successor(F.col("a")).alias("y"))
+    for a, b, x, y in df.collect():
+        if a is None or b is None:
+            assert x is None
+            continue
+        assert y >= a and len(y) <= len(a)
+        if a < b:
+            assert a <= x < b and len(x) <= max(len(a), 1)
+        else:
+            assert x == a
+    short = {(bytes(r.a), bytes(r.b)): bytes(r.x) for r in df.dropna().collect()}
+    assert short[b"abc", b"abd"] == b"abc" and short[b"a\xff\xff", b"b"] == b"a\xff\xff"
 
 
 @given(st.lists(st.one_of(st.binary(max_size=50), st.integers(0, 3 * wal.BLOCK).map(bytes)), max_size=8))
@@ -112,21 +125,25 @@ def test_levels():
     assert levels.pick([0] * 7, 0) is None
     assert levels.pick([0] * 7, 9).level == 0
     sizes = [0, 0, 0, 0, 0, 900 << 20, 20 << 20]
-    assert levels.pick(sizes, 1).level == 5
+    assert levels.pick(sizes, 1).level == 5 and levels.pick(sizes, 1).into == 6
     goal = levels.targets([0, 0, 0, 64 << 20, 640 << 20, 6400 << 20, 64000 << 20])
-    assert goal[6] > goal[5] > goal[4] >= 0
+    total = (64 + 640 + 6400 + 64000) << 20
+    factor = ((total - total // 10) / (64 << 20)) ** (1 / 7)
+    assert goal[0] > 1 << 60 and goal[1:] == [round((64 << 20) * factor**i) for i in range(6)]
 
 
 def test_limiter_follows_load():
     s = limiter.Limiter.start(100, 1000)
     for period in range(1, 80):
-        s = s.refill(period)
-        s, _ = s.take(min(s.burst, s.rate), period)
+        for _ in range(2):  # twice what comes in
+            s, _ = s.take(s.rate, period - 1)
         s = s.adapt(period)
+        s = replace(s, tokens=0.0)
     assert s.rate == 1000
     for period in range(80, 200):
         s = s.adapt(period)
     assert s.rate == 100
+    s = replace(s, tokens=s.burst)
     s, wait = s.take(s.burst, 1000)
     s, later = s.take(10, 1000)
     assert wait == 0 and later > 0
@@ -151,3 +168,73 @@ def test_windowed_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.sql("select n from window_counts").collect()) == [1, 2]
+
+
+def test_store_replays_its_log(spark, tmp_path):
+    log = Wal(spark, str(tmp_path / "wal"))
+    s = kv.KVStore(spark, str(tmp_path / "a"), wal=log)
+    s.set(b"k", b"1")
+    batch = kv.Batch().set(b"k", b"2").delete(b"x").set(b"", b"")
+    log.create(4, [kv._encoded((k, 2 + i, kind, v)) for i, (k, kind, v) in enumerate(batch.rows)])  # a crash before the commit
+    s = kv.KVStore(spark, str(tmp_path / "a"), wal=log)
+    assert s.visible_seq == 4 and s.get(b"k") == b"2" and s.get(b"") == b"" and not log.list()
+
+
+def test_compaction_keeps_snapshots(spark, tmp_path):
+    s = kv.KVStore(spark, str(tmp_path))
+    s.set(b"a", b"1")
+    first = s.snapshot()
+    s.apply(kv.Batch().set(b"a", b"2").merge(b"b", b"x").set(b"c", b"y"))
+    second = s.snapshot()
+    s.apply(kv.Batch().delete_range(b"b", b"d").merge(b"a", b"+").set(b"z", b"0").delete(b"q"))
+    read = lambda: [{bytes(r.user_key): bytes(r.value) for r in s.items(at).collect()} for at in (first, second, None)]
+    before = read()
+    assert before == [{b"a": b"1"}, {b"a": b"2", b"b": b"x", b"c": b"y"}, {b"a": b"2+", b"z": b"0"}]
+    s.compact()
+    assert read() == before
+    s.release(first)
+    s.release(second)
+    s.compact()
+    assert s.table.read().count() == 2 and read()[-1] == before[-1]
+    for i in range(9):
+        s.set(b"k%d" % i, b"v")
+    assert s.compact_if_due().level == 0 and s.compact_if_due() is None and s.items().count() == 11
+
+
+def test_more_ranges_than_are_sent_at_once(spark, monkeypatch):
+    monkeypatch.setattr(kv, "MOST_RANGES", 3)
+    rows = [(b"%03d" % i, 5, kv.SET, b"v") for i in range(100)] + [(b"%03d" % i, 9, kv.RANGE_DELETE, b"%03d" % (i + 4)) for i in range(0, 100, 10)]
+    left = {bytes(r.user_key) for r in kv.without_ranges(spark.createDataFrame(rows, kv.SCHEMA)).collect()}
+    assert left == {b"%03d" % i for i in range(100) if i % 10 > 3}
+
+
+def test_numbers_of_a_batch(spark):
+    df = spark.range(3000).selectExpr("id * 7 % 3000 AS id").repartition(5)
+    assert kv.numbered(df, "id", 10).where("seq <> id + 10").isEmpty()
+    assert sorted(r.seq for r in kv.numbered(spark.createDataFrame([(None,), (1,), (1,)], "id long"), "id", 1).collect()) == [1, 2, 3]
+
+
+def test_update_and_delete_rewrite_files_with_hits_only(spark, tmp_path):
+    from veltra.session import Engine
+
+    e = Engine(spark, root=str(tmp_path))
+    e.sql("CREATE TABLE t (k INT, v INT); INSERT INTO t VALUES (1, 1), (2, 2); INSERT INTO t VALUES (3, 3)")
+    table = e.catalog.table("t")
+    kept = table.files_with(F.col("k") == 3)
+    e.sql("UPDATE t SET v = 9 WHERE k = 1")
+    assert table.files_with(F.col("k") == 3) == kept and sorted(map(tuple, e.sql("SELECT * FROM t").collect())) == [(1, 9), (2, 2), (3, 3)]
+    version = table.manifest()["version"]
+    e.sql("DELETE FROM t WHERE k = 77")
+    assert table.manifest()["version"] == version
+    e.sql("DELETE FROM t WHERE k = 3; DELETE FROM t WHERE k = 2")
+    assert sorted(map(tuple, e.sql("SELECT * FROM t").collect())) == [(1, 9)] and table.read(version).count() == 3
+    e.sql("DELETE FROM t")
+    assert e.sql("SELECT * FROM t").count() == 0
+
+
+@pytest.mark.parametrize("kind, options", [("csv", {"header": "true", "inferSchema": "true"}), ("json", {}), ("orc", {}), ("parquet", {})])
+def test_other_sources(spark, tmp_path, kind, options):
+    from veltra.session import Engine
+
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, s string").write.format(kind).options(**{k: v for k, v in options.items() if k == "header"}).save(str(tmp_path / kind))
+    assert [tuple(r) for r in Engine(spark).register_source("t", kind, str(tmp_path / kind), **options).sql("SELECT s, k FROM t WHERE k > 1").collect()] == [("b", 2)]

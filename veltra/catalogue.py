@@ -11,6 +11,7 @@ from veltra.functions import keys as K
 from veltra.operators import kv
 from veltra.session import Engine
 from veltra.sources import arrow_ipc, sorted_files
+from veltra.sources.wal import Wal
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,11 +104,11 @@ sql("agg_global", "SELECT COUNT(*) AS n, MIN(o_orderkey) AS lo, MAX(o_orderkey)
 sql("agg_expr", "SELECT o_orderstatus, ROUND(SUM(o_totalprice) / COUNT(*), 4) AS per, CEIL(MAX(o_totalprice) - MIN(o_totalprice)) AS span FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, ROUND(SUM(o_totalprice) / COUNT(*), 4) AS per, CAST(CEIL(MAX(o_totalprice) - MIN(o_totalprice)) AS BIGINT) AS span FROM orders GROUP BY o_orderstatus")
 
 # Order and limit
-sql("sort_asc", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice ASC, o_orderkey LIMIT 50")
-sql("sort_desc", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
-sql("sort_multi", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderstatus DESC, o_custkey, o_orderkey LIMIT 40")
-sql("sort_hidden", "SELECT o_orderkey FROM orders ORDER BY o_totalprice * -1, o_orderkey LIMIT 25")
-sql("sort_alias", "SELECT o_orderkey AS k, o_totalprice + 1 AS p FROM orders ORDER BY p DESC, k LIMIT 25")
+sql("sort_asc", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice ASC, o_orderkey")
+sql("sort_desc", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")
+sql("sort_multi", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderstatus DESC, o_custkey, o_orderkey")
+sql("sort_hidden", "SELECT o_orderkey FROM orders ORDER BY o_totalprice * -1, o_orderkey")
+sql("sort_alias", "SELECT o_orderkey AS k, o_totalprice + 1 AS p FROM orders ORDER BY p DESC, k")
 sql("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 5")
 sql("offset_only", "SELECT r_regionkey FROM region ORDER BY r_regionkey OFFSET 2")
 sql("topk", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10")
@@ -118,6 +119,13 @@ sql("ext_count_distinct", "SELECT o_orderstatus, COUNT(DISTINCT o_custkey) AS n
 sql("ext_having", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12")
 sql("ext_rollup", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 sql("ext_cube", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+sql("ext_grouping_sets", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())")
+sql("ext_grouping", "SELECT o_orderstatus, o_orderpriority, GROUPING(o_orderpriority) AS g, COUNT(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", "SELECT o_orderstatus, o_orderpriority, CAST(GROUPING(o_orderpriority) AS TINYINT) AS g, COUNT(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+sql("ext_natural", "SELECT r_regionkey, r_name FROM region NATURAL JOIN (SELECT n_regionkey AS r_regionkey, n_name FROM nation) AS n")
+sql("ext_except_all", "SELECT p_size AS k FROM part EXCEPT ALL SELECT n_nationkey AS k FROM nation")
+sql("ext_intersect_all", "SELECT p_size AS k FROM part INTERSECT ALL SELECT l_linenumber AS k FROM lineitem")
+sql("ext_statistics", "SELECT l_returnflag, ROUND(STDDEV_SAMP(l_quantity), 6) AS sd, ROUND(VAR_POP(l_quantity), 6) AS vp, ROUND(CORR(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY l_returnflag")
+sql("ext_array_index", "SELECT c_custkey AS k, SPLIT(c_name, '#')[1] AS n FROM customer", "SELECT c_custkey AS k, split_part(c_name, '#', 2) AS n FROM customer")
 sql("ext_in", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus NOT IN ('F')")
 sql("ext_between", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000 AND o_custkey NOT BETWEEN 10 AND 100")
 sql("ext_like", "SELECT p_partkey FROM part WHERE p_name LIKE '%a%' AND p_type NOT LIKE 'S%'")
@@ -134,6 +142,12 @@ sql("ext_anti", "SELECT c_custkey FROM customer LEFT ANTI JOIN events ON c_custk
 sql("ext_theta", "SELECT a.n_nationkey AS x, r_regionkey AS y FROM nation a JOIN region ON a.n_regionkey >= r_regionkey AND r_regionkey > 1")
 sql("ext_in_query", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT user_id FROM events WHERE value > 90)")
 sql("ext_not_in_query", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
+sql("ext_not_in_nulls", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT l_partkey FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 49)")
+sql("ext_in_or", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT user_id FROM events WHERE value > 90) OR c_acctbal < 0")
+sql("ext_correlated", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT event_id FROM events WHERE user_id = c_custkey AND value > 95)")
+sql("ext_not_correlated", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey)")
+sql("ext_correlated_in", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_extendedprice > o_totalprice / 2)")
+sql("ext_correlated_scalar", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT AVG(p.o_totalprice) FROM orders p WHERE p.o_custkey = o.o_custkey)")
 sql("ext_scalar_query", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders)")
 sql("ext_exists", "SELECT r_regionkey FROM region WHERE EXISTS (SELECT n_nationkey FROM nation WHERE n_nationkey > 3)")
 sql("ext_case", "SELECT o_orderkey AS k, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS level, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS f FROM orders")
@@ -230,7 +244,8 @@ code("kv_tombstone", _live())(lambda s, d: kv.live(event_log(s, d), "key"))
 code("kv_snapshot", _live(" WHERE seq <= 500"))(lambda s, d: kv.live(event_log(s, d), "key", snapshot=500))
 code("kv_seek_gte", _live(" WHERE key >= 40", " ORDER BY key LIMIT 1"))(lambda s, d: kv.seek_gte(event_log(s, d), 40, "key"))
 code("kv_seek_lte", _live(" WHERE key <= 40", " ORDER BY key DESC LIMIT 1"))(lambda s, d: kv.seek_lte(event_log(s, d), 40, "key"))
-code("kv_scan_desc", _live(tail=" ORDER BY key DESC LIMIT 20"))(lambda s, d: kv.scan(event_log(s, d), "key", descending=True).limit(20))
+code("kv_scan_desc", _live())(lambda s, d: kv.scan(event_log(s, d), "key", descending=True))
+code("kv_scan_asc", _live())(lambda s, d: kv.scan(event_log(s, d), "key"))
 code("kv_compact", _live())(lambda s, d: kv.compacted(event_log(s, d), "key"))
 code("kv_compact_upper", f"{LOG} {NEWEST.format(where='')}")(lambda s, d: kv.compacted(event_log(s, d), "key", bottom=False))
 
@@ -268,7 +283,42 @@ def kv_store(spark, sf_dir):
 
 code("batch_seq", "SELECT event_id, 1000 + row_number() OVER (ORDER BY event_id) - 1 AS seq FROM events WHERE event_type = 'click'")(lambda s, d: kv.numbered(s.read.parquet(f"{d}/events.parquet").where("event_type = 'click'").select("event_id"), "event_id", 1000).withColumn("seq", F.col("seq").cast("bigint")))
 code("key_range_union", "SELECT event_type, min(user_id) AS start, max(user_id) AS end, arg_max(value > 50, (user_id, value > 50)) AS inclusive FROM events GROUP BY event_type")(lambda s, d: kv.key_range(s.read.parquet(f"{d}/events.parquet").withColumn("inc", F.col("value") > 50), "user_id", "user_id", "inc", ["event_type"]))
-code("sorted_check", "SELECT CAST(0 AS BIGINT) AS n")(lambda s, d: kv.out_of_order(kv.versions(event_log(s, d), "key").coalesce(1).select(F.lit(0).alias("file"), F.monotonically_increasing_id().alias("at"), "key", "seq", "kind"), "file", "at", key="key").agg(F.count(F.lit(1)).alias("n")))
+@code("sorted_check", "SELECT CAST(0 AS BIGINT) AS n, CAST(1 AS BIGINT) AS broken")
+def sorted_check(spark, sf_dir):
+    """Rows out of order in files written by key, and in a file with one row moved up."""
+    path = f"{Engine(spark).catalog.root}/checked"
+    sorted_files.write(event_log(spark, sf_dir), path, "key", order=["seq", "kind"])
+    at = F.col("_metadata")
+    files = spark.read.parquet(path).select(at["file_path"].alias("file"), at["row_index"].alias("at"), "key", "seq", "kind")
+    rows = [(0, i, key, seq, kv.SET) for i, (key, seq) in enumerate([(1, 9), (1, 4), (3, 7), (2, 8), (4, 1)])]
+    broken = spark.createDataFrame(rows, "file int, at long, key long, seq long, kind int")
+    count = lambda df: kv.out_of_order(df, "file", "at", key="key").agg(F.count(F.lit(1)))
+    return spark.range(1).select(count(files).scalar().alias("n"), count(broken).scalar().alias("broken"))
+
+
+@code("kv_compact_snapshot", _live(" WHERE seq <= 500"))
+def kv_compact_snapshot(spark, sf_dir):
+    """A store read as of an open snapshot after newer rows came and the log was compacted."""
+    store = kv.KVStore(spark, Engine(spark).catalog.root)
+    rows = event_log(spark, sf_dir).select(F.lpad(F.col("key").cast("string"), 9, "0").cast("binary").alias("user_key"), (F.col("seq") + 1).alias("seq"), "kind", F.concat_ws(":", "seq", "kind", "value").cast("binary").alias("value"))
+    store.append(rows.where("seq <= 501"))
+    seq = store.snapshot()
+    store.append(rows)
+    store.compact()
+    parts = F.split(F.col("value").cast("string"), ":")
+    return store.items(seq).select(F.col("user_key").cast("string").cast("bigint").alias("key"), parts[0].cast("bigint").alias("seq"), parts[1].cast("int").alias("kind"), parts[2].cast("double").alias("value"))
+
+
+@code("wal_replay", "SELECT n_name AS record FROM nation")
+def wal_replay(spark, sf_dir):
+    """Records of two logs; a third, the first of all, is dropped after its records were written again."""
+    log = Wal(spark, f"{Engine(spark).catalog.root}/wal")
+    records = [r["n_name"].encode() for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name").collect()]
+    half = len(records) // 2
+    for number, part in ((1, records[:half]), (2, records[half:]), (3, records[:half])):
+        log.create(number, part)
+    log.obsolete(2)
+    return log.read().select(F.col("record").cast("string").alias("record"))
 
 
 @code("bloom_prune", "SELECT user_id, event_id, value FROM events WHERE user_id = 77")
@@ -296,7 +346,20 @@ def key_functions(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), K.compare(key, F.lit(b"Customer#000000500")).alias("cmp"), K.abbreviated(key).cast("string").alias("abbreviated"), prefix.cast("string").alias("prefix"), suffix.cast("string").alias("suffix"))
 
 
-@code("key_separators")
+#: Separators by the first byte that differs, and a CRC-32 bit by bit.
+SEPARATORS = """
+WITH k AS (SELECT c_custkey, c_name, 'Customer#000000700' AS last FROM customer),
+d AS (SELECT *, list_min(list_filter(range(1, least(length(c_name), length(last)) + 1), lambda i: substr(c_name, CAST(i AS BIGINT), 1) <> substr(last, CAST(i AS BIGINT), 1))) AS pos FROM k),
+b AS (SELECT *, ascii(substr(c_name, pos, 1)) AS x, ascii(substr(last, pos, 1)) AS y FROM d)
+SELECT c_custkey, hex(CASE WHEN pos IS NULL OR x >= y THEN c_name WHEN pos < length(last) OR x + 1 < y THEN substr(c_name, 1, pos - 1) || chr(x + 1) ELSE c_name END) AS separator,
+  hex(chr(ascii(c_name) + 1)) AS successor,
+  xor(CAST(4294967295 AS BIGINT), list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, length(c_name) + 1), lambda i: CAST(ascii(substr(c_name, CAST(i AS BIGINT), 1)) AS BIGINT)), [CAST(1 AS BIGINT)]),
+    lambda c, e: list_reduce(list_concat([xor(c, e)], range(1, 9)), lambda v, n: CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END))) AS crc
+FROM b
+"""
+
+
+@code("key_separators", SEPARATORS)
 def key_separators(spark, sf_dir):
-    key, last = F.col("c_name").cast("binary"), F.lit(b"Customer~")
+    key, last = F.col("c_name").cast("binary"), F.lit(b"Customer#000000700")
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.hex(K.separator(key, last)).alias("separator"), F.hex(K.successor(key)).alias("successor"), K.checksum(key, F.lit(b"\1")).alias("crc"))

@@ -145,6 +145,7 @@ class Join(Node):
     right: Node
     on: Node | None = None
     using: tuple[str, ...] = ()
+    natural: bool = False
 
 
 @dataclass(frozen=True)
@@ -153,9 +154,10 @@ class Select(Node):
     source: Node | None
     where: Node | None = None
     group: tuple[Node, ...] = ()
-    grouping: str = ""  # "", ROLLUP, CUBE
+    grouping: str = ""  # "", ROLLUP, CUBE, SETS
     having: Node | None = None
     distinct: bool = False
+    sets: tuple[tuple[int, ...], ...] = ()  # of GROUPING SETS: places in group
 
 
 @dataclass(frozen=True)

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
-
-import veltra._ship  # noqa: F401
 
 
 def compare(a: Column, b: Column) -> Column:
@@ -15,37 +11,33 @@ def compare(a: Column, b: Column) -> Column:
     return F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
 
 
-def shortest_between(a: bytes, b: bytes) -> bytes:
-    """A short x with a <= x < b for a < b; a itself where there is none shorter or a isn't below b."""
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    if n == min(len(a), len(b)) or a[n] >= b[n]:
-        return a
-    if n < len(b) - 1 or a[n] + 1 < b[n]:
-        return a[:n] + bytes([a[n] + 1])
-    for i in range(n + 1, len(a)):  # a[n] + 1 is b's end: a longer prefix of a, raised where it can be
-        if a[i] < 255:
-            return a[:i] + bytes([a[i] + 1])
-    return a
-
-
-def shortest_after(a: bytes) -> bytes:
-    """A short x with x >= a."""
-    for i, byte in enumerate(a):
-        if byte < 255:
-            return a[:i] + bytes([byte + 1])
-    return a
+def _byte(key: Column, at: Column) -> Column:
+    return F.conv(F.hex(F.substring(key, at, F.lit(1))), 16, 10).cast("int")
 
 
-@F.pandas_udf(BinaryType())
-def separator(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else shortest_between(bytes(x), bytes(y)) for x, y in zip(a, b)])
+def _first(key_from: Column, key_to: Column, test) -> Column:
+    """The first place from one to another for which test holds; null if there is none."""
+    places = F.when(key_from <= key_to, F.sequence(key_from, key_to))
+    return F.array_min(F.filter(places, test))
 
 
-@F.pandas_udf(BinaryType())
-def successor(a: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else shortest_after(bytes(x)) for x in a])
+def _raised(key: Column, at: Column) -> Column:
+    """The key up to a place, whose byte grows by one."""
+    return F.concat(F.substring(key, F.lit(1), at - 1), F.unhex(F.lpad(F.hex(_byte(key, at) + 1), 2, "0")))
+
+
+def separator(a: Column, b: Column) -> Column:
+    """A short x with a <= x < b for a < b; a itself where there is none shorter or a isn't below b."""
+    size_a, size_b = F.octet_length(a), F.octet_length(b)
+    n = _first(F.lit(1), F.least(size_a, size_b), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
+    longer = _first(n + 1, size_a, lambda i: _byte(a, i) < 255)  # where a's byte + 1 is b's end, a longer prefix of a is raised
+    short = F.when(n.isNull() | (_byte(a, n) >= _byte(b, n)), a).when((n < size_b) | (_byte(a, n) + 1 < _byte(b, n)), _raised(a, n)).otherwise(F.coalesce(_raised(a, longer), a))
+    return F.when(a.isNotNull() & b.isNotNull(), short)
+
+
+def successor(a: Column) -> Column:
+    """A short x with x >= a."""
+    return F.coalesce(_raised(a, _first(F.lit(1), F.octet_length(a), lambda i: _byte(a, i) < 255)), a)
 
 
 def split(key: Column, suffix: int = 0) -> tuple[Column, Column]:
@@ -63,3 +55,8 @@ def abbreviated(key: Column) -> Column:
 def checksum(block: Column, aux: Column) -> Column:
     """CRC-32 (IEEE) of a block and its auxiliary byte."""
     return F.crc32(F.concat(block, aux))
+
+
+def bloom_hash(key: Column) -> Column:
+    """64 bits of a key for filters and caches."""
+    return F.xxhash64(key)

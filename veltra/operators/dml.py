@@ -32,7 +32,7 @@ def inserted(resolver: Resolver, table: Table, node: t.Insert) -> DataFrame:
                     raise PlannerError(f"Type mismatch for column '{name}': {value.kind} does not fit {schema[name].dataType.simpleString()}")
         rows = resolver.values(body)
     else:
-        rows = resolver.query(node.query)[0]
+        rows = resolver.query(node.query)
         if len(rows.columns) != len(names):
             raise PlannerError(f"Column count mismatch: expected {len(names)}, got {len(rows.columns)}")
     rows = rows.toDF(*[f"in#{i}" for i in range(len(names))])
@@ -40,33 +40,29 @@ def inserted(resolver: Resolver, table: Table, node: t.Insert) -> DataFrame:
     return rows.select(*[(F.col(place[f.name]) if f.name in place else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def _scope(df: DataFrame, table: Table) -> Scope:
-    return Scope([Entry(table.name, c, c) for c in df.columns])
-
-
-def updated(resolver: Resolver, table: Table, node: t.Update) -> DataFrame:
-    """All rows after an UPDATE; every right-hand side sees the old row, and only a true condition matches."""
-    df = table.read()
-    scope, changes = _scope(df, table), dict(node.changes)
+def update(resolver: Resolver, table: Table, node: t.Update) -> None:
+    """Every right-hand side sees the old row, and only a true condition matches. Files without such a row stay."""
+    schema = table.schema()
+    scope, changes = Scope([Entry(table.name, c, c) for c in schema.names]), dict(node.changes)
     for name in changes:
-        if name not in df.columns:
+        if name not in schema.names:
             raise PlannerError(f"column '{name}' not found")
+        value = plain(changes[name])
+        if isinstance(value, t.Literal) and not fits(value, schema[name].dataType, resolver.strict):
+            raise PlannerError(f"Type mismatch for column '{name}': {value.kind} does not fit {schema[name].dataType.simpleString()}")
     hit = F.lit(True) if node.where is None else F.coalesce(resolver.column(resolver.bind(node.where, scope)), F.lit(False))
-    out = []
-    for f in df.schema.fields:
-        old = F.col(f"`{f.name}`")
-        if f.name in changes:
-            value = plain(changes[f.name])
-            if isinstance(value, t.Literal) and not fits(value, f.dataType, resolver.strict):
-                raise PlannerError(f"Type mismatch for column '{f.name}': {value.kind} does not fit {f.dataType.simpleString()}")
-            old = F.when(hit, resolver.column(resolver.bind(value, scope)).cast(f.dataType)).otherwise(old)
-        out.append(old.alias(f.name))
-    return df.select(*out)
+    value = lambda f: F.when(hit, resolver.column(resolver.bind(changes[f.name], scope)).cast(f.dataType)).otherwise(F.col(f"`{f.name}`"))
+    out = [(value(f) if f.name in changes else F.col(f"`{f.name}`")).alias(f.name) for f in schema.fields]
+    if node.where is None:
+        table.replace(table.read().select(*out))
+    else:
+        table.rewrite(table.files_with(hit), lambda df: df.select(*out))
 
 
-def remaining(resolver: Resolver, table: Table, node: t.Delete) -> DataFrame:
-    """The rows that a DELETE leaves: those for which the condition isn't true."""
-    df = table.read()
+def delete(resolver: Resolver, table: Table, node: t.Delete) -> None:
+    """Rows for which the condition is true go. Files without such a row stay; without a condition nothing is written."""
     if node.where is None:
-        return df.limit(0)
-    return df.where(~F.coalesce(resolver.column(resolver.bind(node.where, _scope(df, table))), F.lit(False)))
+        table.clear()
+        return
+    hit = F.coalesce(resolver.column(resolver.bind(node.where, Scope([Entry(table.name, c, c) for c in table.schema().names]))), F.lit(False))
+    table.rewrite(table.files_with(hit), lambda df: df.where(~hit))

@@ -3,28 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import inf
 
-# Fixed values of the store: levels, and the size that the first sorted level aims at.
-LEVELS, BASE_BYTES = 7, 64 << 20
+# Fixed values of the store: levels, the size that the first sorted level aims at, and the growth between full levels.
+LEVELS, BASE_BYTES, MULTIPLIER = 7, 64 << 20, 10
 L0_FILES = 4
 
 
-def targets(sizes: list[int], base: int = BASE_BYTES) -> list[int]:
-    """Bytes that each level may hold: the first non-empty level below 0 aims at base, the last at its size, and those between
-    grow by an equal factor. Levels that aren't used yet have 0."""
-    used = [i for i in range(1, len(sizes)) if sizes[i]]
-    last = len(sizes) - 1
-    total = max(sum(sizes[1:]), base)
-    first = last
-    room = total
-    while first > 1 and room > base * 10:
-        room //= 10
-        first -= 1
-    if used:
-        first = min(first, used[0])
-    steps = last - first
-    factor = (total / base) ** (1 / steps) if steps else 1.0
-    return [0 if i < first else int(base * factor ** (i - first)) for i in range(len(sizes))]
+def targets(sizes: list[int], base: int = BASE_BYTES) -> list[float]:
+    """Bytes that each level may hold: level 0 any number, level 1 base, and each further one a factor more, which is the
+    LEVELS-th root of how often base goes into nine tenths of all bytes."""
+    total = sum(sizes)
+    factor = ((total - total // MULTIPLIER) / base) ** (1 / LEVELS)
+    return [inf] + [round(base * factor**i) for i in range(len(sizes) - 1)]
 
 
 @dataclass(frozen=True)
@@ -35,9 +26,7 @@ class Pick:
 
 
 def pick(sizes: list[int], l0_files: int, base: int = BASE_BYTES) -> Pick | None:
-    """The level with the largest share of its size, if over 1. Level 0 goes by its number of files."""
-    goal = targets(sizes, base)
-    first = next((i for i in range(1, len(goal)) if goal[i]), len(goal) - 1)
-    scores = [(l0_files / L0_FILES, 0, first)] + [(sizes[i] / goal[i], i, i + 1) for i in range(1, len(sizes) - 1) if goal[i]]
-    score, level, into = max(scores)
-    return Pick(level, score, into) if score >= 1 else None
+    """The level with the largest share of its size, if over 1. Level 0 goes by its number of files; the last stays."""
+    scores = [(l0_files / L0_FILES, 0)] + [(size / max(1, goal), i) for i, (size, goal) in enumerate(zip(sizes, targets(sizes, base))) if 0 < i < len(sizes) - 1]
+    score, level = max(scores)
+    return Pick(level, score, level + 1) if score >= 1 else None

@@ -21,7 +21,9 @@ from veltra.plans.types import cast_type
 #: Aggregates by name; further names of Spark's own are taken as they are.
 AGGREGATES = frozenset(
     "SUM COUNT MIN MAX AVG STDDEV STDDEV_POP STDDEV_SAMP VARIANCE VAR_POP VAR_SAMP APPROX_COUNT_DISTINCT COLLECT_LIST COLLECT_SET "
-    "FIRST LAST ANY_VALUE BOOL_AND BOOL_OR MEDIAN MODE CORR COVAR_POP COVAR_SAMP MAX_BY MIN_BY COUNT_IF PERCENTILE_APPROX".split()
+    "FIRST LAST ANY_VALUE BOOL_AND BOOL_OR MEDIAN MODE CORR COVAR_POP COVAR_SAMP MAX_BY MIN_BY COUNT_IF PERCENTILE_APPROX GROUPING "
+    "GROUPING_ID APPROX_PERCENTILE PERCENTILE EVERY SOME STD SKEWNESS KURTOSIS REGR_COUNT REGR_SLOPE REGR_INTERCEPT REGR_R2 BIT_AND BIT_OR "
+    "BIT_XOR HISTOGRAM_NUMERIC ARRAY_AGG LISTAGG STRING_AGG HLL_SKETCH_AGG".split()
 )
 NUMBERS = count()
 
@@ -33,6 +35,21 @@ class Ref(t.Node):
     column: str
 
 
+@dataclass(frozen=True)
+class Outer(t.Node):
+    """A column of an enclosing query."""
+
+    column: str
+
+
+@dataclass(frozen=True)
+class Inner(t.Node):
+    """A subquery with the names that it sees around it."""
+
+    node: t.Node
+    scopes: tuple
+
+
 @dataclass(frozen=True)
 class Entry:
     qualifier: str | None
@@ -95,11 +112,50 @@ class Resolver:
     def __init__(self, spark: SparkSession, table: Callable[[tuple[str, ...]], DataFrame], strict: bool = False):
         self.spark, self.table, self.strict = spark, table, strict
         self.ctes: dict[str, DataFrame] = {}
+        #: Scopes of the enclosing queries, the nearest last.
+        self.around: tuple[Scope, ...] = ()
 
     # -- expressions
     def bind(self, node, scope: Scope):
-        """Names to Refs."""
-        return rebuild(plain(node), lambda x: Ref(scope.find(x.parts)) if isinstance(x, t.Name) else x if isinstance(x, (t.Query, Ref)) else None)
+        """Names to Refs; names that only an enclosing query has to Outers."""
+
+        def change(x):
+            if isinstance(x, t.Name):
+                return self.named(x.parts, scope)
+            if isinstance(x, (t.Exists, t.ScalarQuery)):
+                return Inner(x, (*self.around, scope))
+            if isinstance(x, t.InQuery):
+                return Inner(replace(x, operand=self.bind(x.operand, scope)), (*self.around, scope))
+            return x if isinstance(x, (t.Query, Ref, Outer, Inner)) else None
+
+        return rebuild(plain(node), change)
+
+    def named(self, parts: tuple[str, ...], scope: Scope) -> Ref | Outer:
+        try:
+            return Ref(scope.find(parts))
+        except PlannerError:
+            # Spark correlates with the query just outside.
+            if not self.around or not any(e.name == parts[-1] for e in self.around[-1].entries):
+                raise
+            return Outer(self.around[-1].find(parts))
+
+    def inside(self, query: t.Query, scopes: tuple) -> DataFrame:
+        before, self.around = self.around, scopes
+        try:
+            return self.query(query)
+        finally:
+            self.around = before
+
+    def found_in(self, x: t.InQuery, scopes: tuple) -> Column:
+        """IN of a subquery as a value: unknown where the operand or, without a match, a row of the subquery is null."""
+        operand = self.column(x.operand)
+        rows, names = self.scan(self.inside(x.query, scopes), None)
+        if len(names.entries) != 1:
+            raise PlannerError("a subquery of IN has one column")
+        value = F.col(f"`{names.entries[0].column}`")
+        outer = self.column(rebuild(x.operand, lambda n: Outer(n.column) if isinstance(n, Ref) else None))
+        hit = F.when(rows.where(value == outer).exists(), F.lit(True)).when(operand.isNull() & rows.exists(), F.lit(None)).when(rows.where(value.isNull()).exists(), F.lit(None)).otherwise(F.lit(False))
+        return ~hit if x.negated else hit
 
     def column(self, x) -> Column:
         """A bound expression as a Column."""
@@ -150,10 +206,14 @@ class Resolver:
                 return ~hit if negated else hit
             case t.Index(e, index):
                 return c(e)[c(index)]
-            case t.ScalarQuery(query):
-                return self.query(query)[0].scalar()
-            case t.Exists(query):
-                return self.query(query)[0].exists()
+            case Outer(name):
+                return F.col(f"`{name}`").outer()
+            case Inner(t.ScalarQuery(query), scopes):
+                return self.inside(query, scopes).scalar()
+            case Inner(t.Exists(query), scopes):
+                return self.inside(query, scopes).exists()
+            case Inner(t.InQuery() as query, scopes):
+                return self.found_in(query, scopes)
             case t.Call():
                 return self.call(x)
         raise PlannerError(f"unsupported expression {type(x).__name__}")
@@ -226,15 +286,21 @@ class Resolver:
     def source(self, node) -> tuple[DataFrame, Scope]:
         if isinstance(node, t.Relation):
             if node.query is not None:
-                return self.scan(self.query(node.query)[0], node.alias)
+                return self.scan(self.query(node.query), node.alias)
             if len(node.name) == 1 and node.name[0] in self.ctes:
                 return self.scan(self.ctes[node.name[0]], node.alias or node.name[0])
             return self.scan(self.table(node.name), node.alias or node.name[-1])
         (left, a), (right, b) = self.source(node.left), self.source(node.right)
         if node.kind == "cross":
             return left.crossJoin(right), a + b
-        if node.using:
-            pairs = [(a.find((n,)), b.find((n,))) for n in node.using]
+        using = node.using
+        if node.natural:
+            names = {e.name for e in b.entries}
+            using = tuple(dict.fromkeys(e.name for e in a.entries if e.name in names))
+            if not using:
+                raise PlannerError("a natural join needs a common column")
+        if using:
+            pairs = [(a.find((n,)), b.find((n,))) for n in using]
             on = None
             for x, y in pairs:
                 test = F.col(f"`{x}`") == F.col(f"`{y}`")
@@ -243,7 +309,7 @@ class Resolver:
             if node.kind in ("left_semi", "left_anti"):
                 return joined, a
             keys = []
-            for name, (x, y) in zip(node.using, pairs):
+            for name, (x, y) in zip(using, pairs):
                 key = f"{name}#{next(NUMBERS)}"
                 joined = joined.withColumn(key, F.coalesce(F.col(f"`{x}`"), F.col(f"`{y}`")))
                 keys.append(Entry(None, name, key))
@@ -269,23 +335,53 @@ class Resolver:
             if isinstance(x, t.Unary) and x.op == "NOT" and isinstance(plain(x.operand), t.InQuery):
                 inner = plain(x.operand)
                 x = replace(inner, negated=not inner.negated)
+            if isinstance(x, t.InQuery) and self.correlated(x.query, scope):
+                x = self.as_exists(x, scope)
             if isinstance(x, t.InQuery):
-                right, names = self.scan(self.query(x.query)[0], None)
+                right, names = self.scan(self.inside(x.query, (*self.around, scope)), None)
                 if len(names.entries) != 1:
                     raise PlannerError("a subquery of IN has one column")
-                test = self.column(self.bind(x.operand, scope)) == F.col(f"`{names.entries[0].column}`")
-                df = df.join(right, test | test.isNull(), "left_anti") if x.negated else df.join(right, test, "left_semi")
+                value, operand = F.col(f"`{names.entries[0].column}`"), self.column(self.bind(x.operand, scope))
+                if x.negated:
+                    # Nulls apart, so that the join itself is an equality: a row of nulls lets nothing pass, no rows let all pass.
+                    some, nulls = right.limit(1).agg(F.count(F.lit(1))).scalar(), right.where(value.isNull()).limit(1).agg(F.count(F.lit(1))).scalar()
+                    df = df.where((some == 0) | (operand.isNotNull() & (nulls == 0)))
+                df = df.join(right, operand == value, "left_anti" if x.negated else "left_semi")
             else:
                 rest.append(self.column(self.bind(x, scope)))
         for condition in rest:
             df = df.where(condition)
         return df
 
+    def correlated(self, query: t.Query, scope: Scope) -> bool:
+        """Whether a subquery uses a name of the query around it; found by resolving it."""
+        seen: list[bool] = []
+        named = self.named
+        self.named = lambda parts, own: seen.append(isinstance(out := named(parts, own), Outer)) or out
+        try:
+            self.inside(query, (*self.around, scope))
+        finally:
+            del self.named
+        return any(seen)
+
+    def as_exists(self, x: t.InQuery, scope: Scope) -> t.Node:
+        """A condition that holds where IN of a correlated subquery is true."""
+        body = x.query.body
+        if not isinstance(body, t.Select) or body.group or body.having is not None or x.query.limit is not None or x.query.offset is not None or len(body.items) != 1 or aggregates(body.items[0].expr):
+            raise PlannerError("a correlated subquery of IN selects one column of rows")
+        operand = rebuild(self.bind(x.operand, scope), lambda n: Outer(n.column) if isinstance(n, Ref) else None)
+        value = body.items[0].expr
+        test: t.Node = t.Binary("=", value, operand)
+        if x.negated:
+            test = t.Binary("OR", test, t.Binary("OR", t.Is(value, "NULL", False), t.Is(operand, "NULL", False)))
+        found = t.Exists(replace(x.query, body=replace(body, where=test if body.where is None else t.Binary("AND", body.where, test)), order=()))
+        return t.Unary("NOT", found) if x.negated else found
+
     # -- queries
-    def query(self, q: t.Query) -> tuple[DataFrame, list[str]]:
+    def query(self, q: t.Query) -> DataFrame:
         outer = dict(self.ctes)
         for name, inner in q.ctes:
-            self.ctes[name] = self.query(inner)[0]
+            self.ctes[name] = self.query(inner)
         try:
             df = self.body(q.body, q.order)
         finally:
@@ -294,13 +390,13 @@ class Resolver:
             df = df.offset(q.offset)
         if q.limit is not None:
             df = df.limit(q.limit)
-        return df, df.columns
+        return df
 
     def body(self, node, order: tuple[t.Order, ...]) -> DataFrame:
         if isinstance(node, t.Select):
             return self.select(node, order)
         if isinstance(node, t.Query):
-            df = self.query(node)[0]
+            df = self.query(node)
         elif isinstance(node, t.Values):
             df = self.values(node)
         else:
@@ -327,11 +423,8 @@ class Resolver:
         width = len(node.rows[0])
         if any(len(row) != width for row in node.rows):
             raise PlannerError("rows of VALUES differ in length")
-        out = None
-        for row in node.rows:
-            one = self.spark.range(1).select(*[self.column(self.bind(x, Scope([]))).alias(f"column_{i}") for i, x in enumerate(row)])
-            out = one if out is None else out.union(one)
-        return out
+        rows = [F.struct(*[self.column(self.bind(x, Scope([]))).alias(f"column_{i}") for i, x in enumerate(row)]) for row in node.rows]
+        return self.spark.range(1).select(F.inline(F.array(*rows)))
 
     @staticmethod
     def sort(o: t.Order, c: Column) -> Column:
@@ -386,9 +479,18 @@ class Resolver:
             key_names = {key: f"key#{next(NUMBERS)}" for key in dict.fromkeys(keys)}
             agg_names = {a: f"agg#{next(NUMBERS)}" for a in dict.fromkeys(found)}
             columns = [self.column(k).alias(n) for k, n in key_names.items()]
-            grouped = {"ROLLUP": df.rollup, "CUBE": df.cube}.get(s.grouping, df.groupBy)(*columns)
-            results = [self.column(a).alias(n) for a, n in agg_names.items()]
-            df = grouped.agg(*results) if results else grouped.agg(F.lit(1).alias("one#")).drop("one#")
+            results = [self.column(replace(a, args=tuple(Ref(key_names[x]) if x in key_names else x for x in a.args)) if a.name in ("GROUPING", "GROUPING_ID") else a).alias(n) for a, n in agg_names.items()]
+            if s.grouping:
+                df = df.select("*", *columns)
+                columns = [F.col(f"`{n}`") for n in key_names.values()]
+            if not columns and results:
+                df = df.select(*results)
+            else:
+                if s.grouping == "SETS":
+                    grouped = df.groupingSets([[F.col(f"`{key_names[keys[i]]}`") for i in one] for one in s.sets], *columns)
+                else:
+                    grouped = {"ROLLUP": df.rollup, "CUBE": df.cube}.get(s.grouping, df.groupBy)(*columns)
+                df = grouped.agg(*results) if results else grouped.agg(F.lit(1).alias("one#")).drop("one#")
             known = set(key_names.values()) | set(agg_names.values())
 
             def after(x):

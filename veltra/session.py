@@ -41,6 +41,11 @@ class Engine:
             self.register(name, self.spark.read.parquet(f"{folder}/{name}.parquet"))
         return self
 
+    def register_source(self, name: str, kind: str, path: str | None = None, **options: str) -> Engine:
+        """Make files or a connection of one of Spark's readers (csv, json, orc, parquet, jdbc) readable as a table."""
+        reader = self.spark.read.format(kind).options(**options)
+        return self.register(name, reader.load(path) if path else reader.load())
+
     def table(self, name: tuple[str, ...] | str) -> DataFrame:
         name = name if isinstance(name, str) else name[-1]
         if name in self.views:
@@ -67,7 +72,7 @@ class Engine:
     def run(self, node: t.Node) -> DataFrame | None:
         resolver = Resolver(self.spark, self.table, self.strict)
         if isinstance(node, t.Query):
-            return resolver.query(node)[0]
+            return resolver.query(node)
         if isinstance(node, t.ShowTables):
             return self.spark.createDataFrame([(n,) for n in self.tables()], "table_name string")
         if isinstance(node, t.CreateTable):
@@ -92,7 +97,7 @@ class Engine:
         if isinstance(node, t.Insert):
             table.append(dml.inserted(resolver, table, node))
         elif isinstance(node, t.Update):
-            table.replace(dml.updated(resolver, table, node))
+            dml.update(resolver, table, node)
         else:
-            table.replace(dml.remaining(resolver, table, node))
+            dml.delete(resolver, table, node)
         return None

@@ -15,10 +15,16 @@ def log_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def flush_into(stream: DataFrame, store: KVStore, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Append each micro-batch to the store. Rows up to the store's sequence number are left out, so a batch that runs again
-    after a failure has no effect."""
-    writer = stream.writeStream.foreachBatch(lambda rows, _: store.append(rows) and None).option("checkpointLocation", checkpoint)
+def flush_into(stream: DataFrame, store: KVStore, checkpoint: str, once: bool = False, compact: bool = False) -> StreamingQuery:
+    """Append each micro-batch to the store, and compact it when the picker says so. Rows up to the store's sequence number
+    are left out, so a batch that runs again after a failure has no effect."""
+
+    def flush(rows: DataFrame, _: int) -> None:
+        store.append(rows)
+        if compact:
+            store.compact_if_due()
+
+    writer = stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
