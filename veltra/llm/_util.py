@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes.util
 import gc
+import re
 import time
 import uuid
 
@@ -22,8 +24,12 @@ SLICE_BYTES = 2 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/veltra"
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one where that is unset and all run in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/checkpoints/veltra"
     return f"{base.rstrip('/')}/veltra-{uuid.uuid4().hex}"
 
 
@@ -31,7 +37,16 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts lineage and survives lost executors."""
     path = f"{scratch(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables, once all that is made of them is written itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path.getParent(), True)
 
 
 def release(spark: SparkSession) -> None:
@@ -42,9 +57,23 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def trim() -> None:
+    """Give memory that a fit on the driver has freed back to the system; without glibc there is nothing to do."""
+    gc.collect()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(ctypes.CDLL(libc), "malloc_trim"):
+        ctypes.CDLL(libc).malloc_trim(0)
+
+
+#: Bytes of a batch that goes to Python, or one row that is longer.
+BATCH_BYTES = 32 << 20
+
+
 def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:
-    """Fewer rows per Arrow batch than Spark's default, as texts are long."""
+    """Fewer rows per Arrow batch than Spark's default, as texts are long. The bound on bytes is the same for all operators, so
+    it holds whichever of them set the rows last before a plan runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -164,13 +193,16 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "step")
+        old = [step, edges]
         if result is None:
             result = step.select(F.col("a").alias("id"), F.col("m").alias("component"))
         else:
+            old.append(result)
             result = result.join(step.withColumnRenamed("a", "component"), "component", "left").select("id", F.coalesce("m", "component").alias("component"))
         result = materialize(result, "labels")
         edges = edges.join(step, "a").select(F.col("m").alias("x"), "b").join(step.select(F.col("a").alias("b"), F.col("m").alias("y")), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         edges = materialize(edges, "edges")
+        discard(*old)
     return result if result is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 

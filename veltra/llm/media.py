@@ -3,8 +3,10 @@
 A payload (text in UTF-8, padded with bytes 255 to a positive multiple of 576) is cut where a rolling gear hash of its
 last 32 bytes has zero low bits, so that equal passages give equal chunks. Payloads are identified by their SHA-256, and
 joins on chunk digests pick one owner for each chunk. The store has a row (pack) per distinct payload with the ordered
-list of its chunk digests and the Zstandard form (with a dictionary common to the store) of the chunks that it owns. Reading takes chunks from the payload's own
-pack and fetches only foreign ones by a join; every chunk and every payload is verified against its digest.
+list of its chunk digests and the Zstandard form of the chunks that it owns; a chunk's form depends on its bytes alone.
+Reading takes chunks from the payload's own pack and fetches only foreign ones by a join; every chunk and every payload is
+verified against its digest. Texts are stored and read in ``ROUNDS`` parts by their hash, so that the shuffle files of one
+part are gone before the next.
 
 Defined results: a null text is empty; equal texts share all values; repeated rows and ids are rows of their own; texts are
 stored whole; an empty table gives no rows; other columns are left alone. The stored form of a payload is the
@@ -13,6 +15,7 @@ concatenation of its stored chunks in order.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from dataclasses import dataclass
@@ -23,15 +26,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veltra.llm._util import BYTE_HASH, arrow_rows, binary_parts, materialize, read, release
+from veltra.llm._util import BYTE_HASH, arrow_rows, binary_parts, discard, materialize, read, release
 
 FRAME = 576
 #: Least and largest bytes of a chunk, and zero bits of the hash at a cut: most payloads have under 4096 bytes.
 LEAST, MOST, CUT_BITS = 1 << 8, 1 << 14, 10
 GEAR = (BYTE_HASH >> np.uint64(32)).astype(np.uint32)
 STEP = 4 << 20
-#: The compression dictionary: its bytes, and the rows (by hash of their text) and characters of each that it is trained on.
-DICTIONARY_BYTES, DICTIONARY_ROWS, DICTIONARY_CHARS, LEVEL = 256 << 10, 2500, 6000, 12
+LEVEL, ROUNDS = 12, 4
 
 
 def padded(raw: bytes) -> bytes:
@@ -82,7 +84,8 @@ def _features(payload: bytes) -> str:
 
 
 def manifests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, payload, digests) of each row: the payload's SHA-256 and those of its chunks in order."""
+    """(doc_id, n_bytes, payload, part, digests) of each row: the payload's SHA-256, its part of the store, and the SHA-256
+    of its chunks in order."""
 
     def run(batches):
         for batch in batches:
@@ -92,62 +95,58 @@ def manifests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 sizes.append(n)
                 keys.append(hashlib.sha256(payload).digest())
                 lists.append([hashlib.sha256(payload[a:b]).digest() for a, b in zip([0, *ends], ends)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "payload", "digests"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), batch.column("part"), pa.array(lists, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "payload", "part", "digests"])
 
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(ROUNDS)))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload binary, digests array<binary>")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload binary, part long, digests array<binary>")
 
 
 @dataclass(frozen=True)
 class ChunkStore:
-    """packs: (payload, chunks array<struct<seq, digest, own>>, own array<struct<digest, shared, data>>, foreign).
-    dictionary: the compression dictionary of all chunks, empty where there were too few rows to train one."""
+    """packs: (payload, chunks array<struct<seq, digest, own, shared>>, own array<struct<digest, shared, data>>, foreign), one table
+    for each part of the payloads."""
 
-    packs: DataFrame
-    dictionary: bytes
-
-
-def _dictionary(raw: bytes):
-    return zstandard.ZstdCompressionDict(raw) if raw else None
-
-
-def trained_dictionary(docs: DataFrame, text_col: str = "text") -> bytes:
-    text = docs.select(F.xxhash64(text_col).alias("h"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, DICTIONARY_CHARS).alias("t"))
-    hashes = text.groupBy("h").agg(F.lit(1)).orderBy("h").limit(DICTIONARY_ROWS).agg(F.max("h")).collect()[0][0]
-    rows = text.where(F.col("h") <= F.lit(hashes)).groupBy("h").agg(F.min("t").alias("t")).collect() if hashes is not None else []
-    rows.sort(key=lambda r: r["h"])
-    samples = [r["t"].encode() for r in rows if r["t"]]
-    if sum(map(len, samples)) < 10 * DICTIONARY_BYTES:
-        return b""
-    return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    packs: tuple[DataFrame, ...]
 
 
 def store(docs: DataFrame, manifest: DataFrame, *, text_col: str = "text") -> ChunkStore:
     """Write the chunk store of docs into the shared folder."""
-    dictionary = trained_dictionary(docs, text_col)
-
-    def run(batches):
-        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
-        for batch in batches:
-            keys, lists = [], []
-            for _, payload in _payloads(batch, "text"):
-                ends = cuts(payload)
-                keys.append(hashlib.sha256(payload).digest())
-                lists.append([pack.compress(payload[a:b]) for a, b in zip([0, *ends], ends)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], names=["payload", "blobs"])
 
-    refs = manifest.select("payload", "digests").groupBy("payload").agg(F.first("digests").alias("digests")).select("payload", F.posexplode("digests").alias("seq", "digest"))
-    refs = materialize(refs, "refs")
+    def run(part: int):
+        def packed(batches):
+            pack = zstandard.ZstdCompressor(level=LEVEL)
+            for batch in batches:
+                keys, lists, seen = [], [], set()
+                for _, payload in _payloads(batch, "text"):
+                    key = hashlib.sha256(payload).digest()
+                    if key in seen:
+                        continue
+                    seen.add(key)
+                    ends = cuts(payload)
+                    keys.append(key)
+                    lists.append([pack.compress(payload[a:b]) for a, b in zip([0, *ends], ends)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], names=["payload", "blobs"])
+
+        text = docs.select(docs[text_col].alias("text")).where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(ROUNDS)) == part)
+        return text.mapInArrow(packed, "payload binary, blobs array<binary>").groupBy("payload").agg(F.first("blobs").alias("blobs"))
+
+    refs = manifest.select("payload", "part", "digests").groupBy("payload").agg(F.first("digests").alias("digests"), F.first("part").alias("part"))
+    refs = materialize(refs.select("payload", "part", F.posexplode("digests").alias("seq", "digest")), "refs")
     owner = refs.groupBy("digest").agg(F.min(F.struct("payload", "seq")).alias("owner"), F.count(F.lit(1)).alias("n"))
-    refs = refs.join(owner, "digest").select("payload", F.struct("seq", "digest", (F.struct("payload", "seq") == F.col("owner")).alias("own"), (F.col("n") > 1).alias("shared")).alias("c"))
-    lists = refs.groupBy("payload").agg(F.sort_array(F.collect_list("c")).alias("chunks"))
-    blobs = docs.select(docs[text_col].alias("text")).mapInArrow(run, "payload binary, blobs array<binary>").groupBy("payload").agg(F.first("blobs").alias("blobs"))
+    owned = refs.join(owner, "digest").select("payload", "part", F.struct("seq", "digest", (F.struct("payload", "seq") == F.col("owner")).alias("own"), (F.col("n") > 1).alias("shared")).alias("c"))
+    lists = materialize(owned.groupBy("payload").agg(F.first("part").alias("part"), F.sort_array(F.collect_list("c")).alias("chunks")), "lists")
+    discard(refs)
     own = F.transform(F.filter("chunks", lambda c: c.own), lambda c: F.struct(c.digest.alias("digest"), c.shared.alias("shared"), F.col("blobs")[c.seq].alias("data")))
-    packs = blobs.join(lists, "payload").select("payload", "chunks", own.alias("own"), F.exists("chunks", lambda c: ~c.own).alias("foreign"))
-    packs = materialize(packs, "packs")
+    packs = []
+    for part in range(ROUNDS):
+        release(docs.sparkSession)
+        rows = run(part).join(lists.where(F.col("part") == part), "payload").select("payload", "chunks", own.alias("own"), F.exists("chunks", lambda c: ~c.own).alias("foreign"))
+        packs.append(materialize(rows, "packs"))
+    discard(lists)
     release(docs.sparkSession)
-    return ChunkStore(packs, dictionary)
+    return ChunkStore(tuple(packs))
 
 
 def read_back(stored: ChunkStore, with_payload: bool = False) -> DataFrame:
@@ -155,10 +154,8 @@ def read_back(stored: ChunkStore, with_payload: bool = False) -> DataFrame:
     media_sha256, feature), and the bytes as ``data`` if asked for. A chunk or payload that fails its digest raises ValueError."""
     fields = "payload binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", data binary" * with_payload
 
-    packs, dictionary = stored.packs, stored.dictionary
-
     def run(batches):
-        unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
             for row in batch.to_pylist():
@@ -178,13 +175,21 @@ def read_back(stored: ChunkStore, with_payload: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=[f.split()[0] for f in fields.split(", ")])
 
     others = "cast(null as array<struct<digest: binary, data: binary>>)"
-    whole = packs.where(~F.col("foreign")).select("payload", "chunks", "own", F.expr(others).alias("others"))
-    needing = packs.where("foreign")
-    refs = needing.select("payload", F.explode(F.array_distinct(F.transform(F.filter("chunks", lambda c: ~c.own), lambda c: c.digest))).alias("digest"))
-    shared = packs.select(F.explode(F.filter("own", lambda c: c.shared)).alias("c")).select("c.digest", "c.data")
-    got = refs.join(shared, "digest").groupBy("payload").agg(F.collect_list(F.struct("digest", "data")).alias("others"))
-    joined = needing.join(got, "payload").select("payload", "chunks", "own", "others")
-    return whole.unionByName(joined).mapInArrow(run, fields)
+    shared = materialize(functools.reduce(DataFrame.unionByName, (p.select(F.explode(F.filter("own", lambda c: c.shared)).alias("c")).select("c.digest", "c.data") for p in stored.packs)), "shared")
+    found = []
+    for packs in stored.packs:
+        whole = packs.where(~F.col("foreign")).select("payload", "chunks", "own", F.expr(others).alias("others"))
+        needing = packs.where("foreign")
+        refs = needing.select("payload", F.explode(F.array_distinct(F.transform(F.filter("chunks", lambda c: ~c.own), lambda c: c.digest))).alias("digest"))
+        got = refs.join(shared, "digest").groupBy("payload").agg(F.collect_list(F.struct("digest", "data")).alias("others"))
+        joined = needing.join(got, "payload").select("payload", "chunks", "own", "others")
+        found.append(whole.unionByName(joined).mapInArrow(run, fields))
+        if not with_payload:  # digests and features are narrow; payloads stay where they are
+            found[-1] = materialize(found[-1], "read")
+            release(packs.sparkSession)
+    if not with_payload:
+        discard(shared)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
