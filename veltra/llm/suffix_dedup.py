@@ -8,9 +8,11 @@ array gives the transform, and intervals are extended backwards breadth first: t
 each set the common prefix of their right border where it isn't set yet, so common prefixes come up by increasing value,
 and the expansion stops at ``length``; borders not set by then have a common prefix of at least ``length`` bytes.
 
-A minimiser with very many different segments is split by what its windows have in common: first by 16 neighbouring
-window starts and the bytes that these share, then, if that is not enough, window by window, where equal digests of
-whole windows are equal windows. Text is compared by bytes; segments and single windows by 128-bit hashes.
+A minimiser with over ``MOST_SEGMENTS`` different segments would make a block of unbounded size. It is split by what its
+windows have in common: first by 16 neighbouring window starts and the bytes that these share, whose pieces meet in
+blocks again; then, where over ``MOST_SEGMENTS`` pieces differ in the last few bytes only, window by window, where equal
+digests of whole windows are equal windows. Text is compared by bytes; segments, pieces and single windows by 128-bit
+hashes. Counts per minimiser, segment or window are aggregates that are joined back: none needs a key's rows in one task.
 
 Defined results: a null text is empty; texts shorter than ``length`` stay; overlaps and repeats inside one text count;
 a repeated row repeats its text; equal ids may have different texts; an empty table gives no rows; other columns are left
@@ -23,10 +25,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veltra.llm._util import BYTE_HASH, GOLDEN, arrow_rows, binary_parts, materialize, mix64, read, release, slices
+from veltra.llm._util import BYTE_HASH, GOLDEN, arrow_rows, binary_parts, discard, materialize, mix64, read, release, slices
 
 SEED, LENGTH = 160, 400
 PIECE = 1 << 20
@@ -213,9 +215,9 @@ def _expand(length: int):
     return run
 
 
-def _split(length: int, seed: int, step: int):
+def _split(length: int, step: int):
     """Segments to pieces of windows whose distance to the minimiser falls in one cell of a grid of step; their key is
-    a hash of the bytes that all windows of the cell share."""
+    a hash of the bytes that all windows of the cell share, and s1 and s2 one of their own bytes."""
 
     def run(batches):
         for batch in batches:
@@ -230,15 +232,43 @@ def _split(length: int, seed: int, step: int):
                     shared = b[core : core - step + 1 + length]
                     h = hashlib.blake2b(shared, digest_size=16, salt=(d // step).to_bytes(16, "little", signed=True), key=key.to_bytes(8, "little", signed=True)).digest()
                     piece = b[w : stop + length - 1]
-                    out.append((int.from_bytes(h[:8], "little", signed=True), i, t, p + w, single, d, int.from_bytes(h[8:], "little", signed=True), piece))
+                    own = hashlib.blake2b(piece, digest_size=16, key=d.to_bytes(8, "little", signed=True)).digest()
+                    out.append((*_halves(h), i, t, p + w, single, d, *_halves(own), piece))
                     w = stop
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], names=["key", "id", "th", "p", "single", "away", "key2", "b"])
+            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.int64()] * 3 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], names=["key", "key2", "id", "th", "p", "single", "away", "s1", "s2", "b"])
 
     return run
 
 
-PIECES = "key long, id long, th long, p long, single boolean, away long, key2 long, b binary"
+def _halves(digest: bytes) -> tuple[int, int]:
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+PIECES = "key long, key2 long, id long, th long, p long, single boolean, away long, s1 long, s2 long, b binary"
+
+
+def _windows(length: int):
+    """Each window of pieces with its digest: (id, th, p, s1, s2)."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, i, t, p, away, b in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "th", "p", "away", "b"))):
+                salt = key.to_bytes(8, "little", signed=True)
+                out += [(i, t, p + w, *_halves(hashlib.blake2b(b[w : w + length], digest_size=16, key=salt).digest())) for w in range(len(b) - length + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(5)], names=["id", "th", "p", "s1", "s2"])
+
+    return run
+
+
+def _marked(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows (key, s1, s2, id, th, p) with equal, how many have one s1 and s2, kinds, how many different ones a key has, and
+    owner, whether the row is the first of its kind; those that are alone with their key go."""
+    kinds = materialize(rows.groupBy(*key, "s1", "s2").agg(F.count(F.lit(1)).alias("equal"), F.min(F.struct("id", "th", "p")).alias("owner")), "kinds")
+    count = kinds.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds"))
+    out = rows.join(kinds, [*key, "s1", "s2"]).join(count, key).where("equal > 1 or kinds > 1")
+    return out.withColumn("owner", F.struct("id", "th", "p") == F.col("owner")).drop("s1", "s2")
 
 
 def spans(docs: DataFrame, length: int, seed: int) -> DataFrame:
@@ -254,15 +284,15 @@ def spans(docs: DataFrame, length: int, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, ids[row], ths[row], p + base, windows.astype(np.int32), away.astype(np.int32), s1, s2)], names=names)
 
     found = docs.mapInArrow(cut, "h long, id long, th long, p long, windows int, away int, s1 long, s2 long")
-    by, same = Window.partitionBy("h"), Window.partitionBy("h", "s1", "s2")
-    # A sort by (h, s1, s2) serves all of these windows.
-    hits = found.withColumn("equal", F.count(F.lit(1)).over(same)).withColumn("nth", F.row_number().over(same.orderBy("id", "th", "p")))
-    hits = hits.withColumn("mixed", F.min("s1").over(by) != F.max("s1").over(by)).withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(by))
-    hits = materialize(hits.where("mixed or equal > 1").drop("s1", "s2"), "hits")
+    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    again = materialize(found.join(often, "h", "left_semi"), "again")
+    release(docs.sparkSession)
+    hits = materialize(_marked(again, ["h"]), "hits")
+    discard(again)
     release(docs.sparkSession)
     whole = hits.where("equal > 1").select("id", "th", F.col("p").alias("lo"), (F.col("p") + F.col("windows") + (length - 1)).alias("hi"))
 
-    wanted = hits.where("mixed and nth = 1").groupBy("id", "th").agg(F.collect_list(F.struct("h", "p", "windows", "away", "equal", "kinds")).alias("s"))
+    wanted = hits.where("kinds > 1 and owner").groupBy("id", "th").agg(F.collect_set(F.struct("h", "p", "windows", "away", "equal", "kinds")).alias("s"))
     wanted = wanted.select("id", "th", *[F.col("s")[c].alias(c) for c in ("h", "p", "windows", "away", "equal", "kinds")])
 
     def fetch(batches):
@@ -289,16 +319,14 @@ def spans(docs: DataFrame, length: int, seed: int) -> DataFrame:
     hot = parts.where(F.col("kinds") > MOST_SEGMENTS)
     if not hot.isEmpty():
         # Equal pieces are one piece that repeats; of the rest, keys with few pieces go to blocks.
-        pieces = hot.mapInArrow(_split(length, seed, GRID), PIECES).withColumn("bh", F.xxhash64("b", "away"))
-        alike = Window.partitionBy("key", "key2", "bh", "b")
-        pieces = pieces.withColumn("nth", F.row_number().over(alike.orderBy("id", "th", "p"))).withColumn("equal", F.count(F.lit(1)).over(alike))
-        pieces = materialize(pieces.withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(Window.partitionBy("key", "key2"))), "pieces")
+        pieces = materialize(hot.mapInArrow(_split(length, GRID), PIECES), "pieces")
+        pieces = materialize(_marked(pieces, ["key", "key2"]), "marked")
         out = out.unionByName(pieces.where("equal > 1").select("id", "th", F.col("p").alias("lo"), (F.col("p") + F.octet_length("b")).alias("hi")))
-        rest = pieces.where("nth = 1 and kinds > 1").withColumn("single", F.col("single") & (F.col("equal") == 1))
+        rest = pieces.where("owner and kinds > 1").withColumn("single", F.col("single") & (F.col("equal") == 1))
         out = out.unionByName(blocks(rest.where(F.col("kinds") <= MOST_SEGMENTS)))
-        single = rest.where(F.col("kinds") > MOST_SEGMENTS).mapInArrow(_split(length, seed, 1), PIECES)
-        single = single.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "key2")))
-        out = out.unionByName(single.where("n > 1").select("id", "th", F.col("p").alias("lo"), (F.col("p") + length).alias("hi")))
+        single = materialize(rest.where(F.col("kinds") > MOST_SEGMENTS).mapInArrow(_windows(length), "id long, th long, p long, s1 long, s2 long"), "windows")
+        same = single.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        out = out.unionByName(single.join(same, ["s1", "s2"], "left_semi").select("id", "th", F.col("p").alias("lo"), (F.col("p") + length).alias("hi")))
     return materialize(out, "spans")
 
 
