@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from veltra.llm._util import BYTE_HASH_LOWER, arrow_rows, binary_parts, class_spans, crc_mod, read, slices, span_hashes, training_sample
+from veltra.llm._util import BYTE_HASH_LOWER, arrow_rows, binary_parts, class_spans, crc_mod, read, slices, span_hashes, training_sample, trim
 
 #: Most labelled rows of either label that the classifier is fitted on.
 TRAIN_ROWS = 2500
@@ -76,8 +76,11 @@ class ToxicityModel:
             yield y
 
     def logits(self, ids, offs) -> np.ndarray:
-        """Every text has at least three (empty) words, so no maximum is over nothing."""
-        best = [np.maximum.reduceat(y, offs[:-1], axis=0) for y in self._filtered(ids)]
+        """Every text has at least three (empty) words; the last two begin no window, as it would reach into the next text."""
+        best = []
+        for y in self._filtered(ids):
+            y[offs[1:] - 1] = y[offs[1:] - 2] = -np.inf
+            best.append(np.maximum.reduceat(y, offs[:-1], axis=0))
         return np.tanh(np.concatenate(best, axis=1)) @ self.out + self.out_bias
 
     def fit(self, texts: list[str], y: np.ndarray, weight: np.ndarray, lang: list[str | None]) -> ToxicityModel:
@@ -103,7 +106,7 @@ class ToxicityModel:
                 a = words[where]
                 maxima, places = [], []
                 for z in self._filtered(a):
-                    place = np.array([lo + np.argmax(z[lo:hi], axis=0) for lo, hi in zip(at[:-1], at[1:])])
+                    place = np.array([lo + np.argmax(z[lo : hi - 2], axis=0) for lo, hi in zip(at[:-1], at[1:])])
                     places.append(place)
                     maxima.append(np.take_along_axis(z, place, 0))
                 h = np.tanh(np.concatenate(maxima, 1))
@@ -182,7 +185,10 @@ class ToxicityModel:
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", held_out: tuple[int, int] = (4, 2), rows: int = TRAIN_ROWS) -> ToxicityModel:
     """Fit on labels of ids whose crc32 modulo held_out[0] is not held_out[1]."""
     sample = training_sample(docs, labels, label, crc_mod("doc_id", held_out[0]) != held_out[1], rows)
-    return ToxicityModel().fit([t for t, *_ in sample], np.array([y for _, y, *_ in sample]), np.array([s / 1000 for *_, s in sample]), [g for *_, g, _ in sample])
+    model = ToxicityModel().fit([t for t, *_ in sample], np.array([y for _, y, *_ in sample]), np.array([s / 1000 for *_, s in sample]), [g for *_, g, _ in sample])
+    del sample
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
