@@ -163,15 +163,23 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, table:
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of k words; with fewer words the whole run is one; without words there are none."""
+    """A hash of each run of k words; with fewer words the whole run is one; without words there are none. Polynomials of 1,
+    2, 4, ... words are put together as k's bits say."""
     n = len(words)
     if not n:
         return words
     k = min(k, n)
-    out = words[: n - k + 1].copy()
-    for i in range(1, k):
-        out = out * np.uint64(0x9FB21C651E98DF25) + mix64(words[i : n - k + 1 + i] + np.uint64(i))
-    return mix64(out)
+    part, width, power, out, done = words, 1, 0x9FB21C651E98DF25, None, 0
+    while True:
+        if k & 1:
+            size = n - done - width + 1
+            out = part if out is None else out[:size] * np.uint64(power) + part[done : done + size]
+            done += width
+        k >>= 1
+        if not k:
+            return mix64(out)
+        part = part[:-width] * np.uint64(power) + part[width:]
+        power, width = power * power % (1 << 64), 2 * width
 
 
 def hash_unit(*columns: Column | str) -> Column:
