@@ -119,8 +119,10 @@ def write_bundles(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     arrow_rows(pages.sparkSession, 500)
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), html.alias("html"), F.octet_length(html).cast("bigint").alias("size"), F.sha1(html.cast("binary")).alias("sha1"), F.sha2(html.cast("binary"), 256).alias("key"))
-    first = rows.groupBy("key").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, "key")
+    # Owners on narrow columns; then the join is by page, so that a payload of very many pages doesn't meet in one task.
+    narrow = rows.select("key", "page_id")
+    first = narrow.join(narrow.groupBy("key").agg(F.min("page_id").alias("first")), "key").distinct().toDF("key", "_page", "first")
+    rows = rows.join(first, (rows["key"] == first["key"]) & rows["page_id"].eqNullSafe(first["_page"]))
     revisit = F.coalesce(F.col("first") != F.col("page_id"), F.col("first").isNotNull())
     rows = rows.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "size", "sha1", F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -149,7 +151,7 @@ def write_bundles(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
 def read_records(bundles: DataFrame) -> DataFrame:
     """(page_id, url, html, payload_bytes, payload_digest, record_type, refers_to) of every record, each read through its
     bundle's seek table and index; html is null for revisits. A response whose payload doesn't have its digest raises ValueError."""
-    arrow_rows(bundles.sparkSession, 500)
+    arrow_rows(bundles.sparkSession, 4)  # a row is a whole bundle
 
     def run(batches):
         names = ["page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to"]
