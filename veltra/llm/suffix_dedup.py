@@ -266,7 +266,8 @@ def _marked(rows: DataFrame, key: list[str]) -> DataFrame:
     """rows (key, s1, s2, id, th, p) with equal, how many have one s1 and s2, kinds, how many different ones a key has, and
     owner, whether the row is the first of its kind; those that are alone with their key go."""
     kinds = materialize(rows.groupBy(*key, "s1", "s2").agg(F.count(F.lit(1)).alias("equal"), F.min(F.struct("id", "th", "p")).alias("owner")), "kinds")
-    count = kinds.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds"))
+    # Written first, as Spark splits a frequent key of a join only where both sides come straight from a shuffle.
+    count = materialize(kinds.groupBy(*key).agg(F.count(F.lit(1)).alias("kinds")), "count")
     out = rows.join(kinds, [*key, "s1", "s2"]).join(count, key).where("equal > 1 or kinds > 1")
     return out.withColumn("owner", F.struct("id", "th", "p") == F.col("owner")).drop("s1", "s2")
 
@@ -284,8 +285,10 @@ def spans(docs: DataFrame, length: int, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, ids[row], ths[row], p + base, windows.astype(np.int32), away.astype(np.int32), s1, s2)], names=names)
 
     found = docs.mapInArrow(cut, "h long, id long, th long, p long, windows int, away int, s1 long, s2 long")
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    often = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often")
+    release(docs.sparkSession)
     again = materialize(found.join(often, "h", "left_semi"), "again")
+    discard(often)
     release(docs.sparkSession)
     hits = materialize(_marked(again, ["h"]), "hits")
     discard(again)
@@ -325,7 +328,7 @@ def spans(docs: DataFrame, length: int, seed: int) -> DataFrame:
         rest = pieces.where("owner and kinds > 1").withColumn("single", F.col("single") & (F.col("equal") == 1))
         out = out.unionByName(blocks(rest.where(F.col("kinds") <= MOST_SEGMENTS)))
         single = materialize(rest.where(F.col("kinds") > MOST_SEGMENTS).mapInArrow(_windows(length), "id long, th long, p long, s1 long, s2 long"), "windows")
-        same = single.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        same = materialize(single.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "same")
         out = out.unionByName(single.join(same, ["s1", "s2"], "left_semi").select("id", "th", F.col("p").alias("lo"), (F.col("p") + length).alias("hi")))
     return materialize(out, "spans")
 
