@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veltra.llm._util import BYTE_HASH_LOWER, GOLDEN, arrow_rows, binary_parts, components, materialize, mix64, read, release, shingle_hashes, slices, span_hashes, word_spans
+from veltra.llm._util import BYTE_HASH_LOWER, GOLDEN, arrow_rows, binary_parts, components, discard, materialize, mix64, read, release, shingle_hashes, slices, span_hashes, word_spans
 
 #: Percent of a set's tokens that are taken beyond those that must be, to have l of them in common.
 MORE = 10
@@ -118,16 +118,16 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _flat(found: DataFrame) -> DataFrame:
-    """(token, node, n, grp) of the sets found (node, n, grp, s)."""
+    """(token, node, grp) of the sets found (node, grp, s)."""
 
     def run(batches):
         for batch in batches:
             raw = [np.frombuffer(x, np.int64) for x in batch.column("s").to_pylist()]
             size = [len(x) for x in raw]
-            columns = [np.concatenate([*raw, np.zeros(0, np.int64)]), *(np.repeat(batch.column(c).to_numpy(), size) for c in ("node", "n", "grp"))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["token", "node", "n", "grp"])
+            columns = [np.concatenate([*raw, np.zeros(0, np.int64)]), *(np.repeat(batch.column(c).to_numpy(), size) for c in ("node", "grp"))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["token", "node", "grp"])
 
-    return found.select("node", "n", "grp", "s").mapInArrow(run, "token long, node long, n long, grp long")
+    return found.select("node", "grp", "s").mapInArrow(run, "token long, node long, grp long")
 
 
 def _unpack(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -283,7 +283,7 @@ def _chunks(rows: DataFrame, keys: list[str], nodes: int | None, salt: int) -> D
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, th, first) of each row: documents link when their sets' Jaccard similarity is
-    percent / 100 or more. th is xxhash64 of the text; first marks the rows of a component's smallest (doc_id, th), null ids last."""
+    percent / 100 or more. th is xxhash64 of the text; first marks the rows of a component's smallest (doc_id, th), null ids last, and all rows without words."""
     spark = docs.sparkSession
     arrow_rows(spark, 1000)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
@@ -299,9 +299,11 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     count = _prefixes(docs, k, percent).join(shared, "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
     l = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) * MORE / 100)  # noqa: E741
     near = materialize(count.join(classes, "node").where(F.col("c") >= l * F.col("copies")).select("node", "n", "g0", "g1", F.col("first.doc_id").alias("w_id"), F.col("first.th").alias("w_th")), "near")
+    discard(shared)
     release(spark)
     found = _sets_of(docs, near.select("w_id", "w_th"), k).dropDuplicates(["node"])
     found = materialize(found.join(near.drop("w_id", "w_th"), "node"), "sets")
+    discard(near)
     release(spark)
 
     # Links of sets that agree on two min-hashes; the second pair of hashes has other chunks, so that parts of a large family meet.
@@ -309,7 +311,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     chunked = chunked[0].unionByName(chunked[1]).join(found.select("node", "s"), "node").select("r", "g", "chunk", "node", "s")
     links = materialize(chunked.groupBy("r", "g", "chunk").applyInArrow(_link_chunk(percent), "a long, b long"), "links")
     group = components(links).select(F.col("id").alias("node"), F.col("component").alias("grp"))
-    found = materialize(found.join(group, "node", "left").withColumn("grp", F.coalesce("grp", "node")), "grouped")
+    before, found = found, materialize(found.join(group, "node", "left").withColumn("grp", F.coalesce("grp", "node")), "grouped")
+    discard(before, links)
     release(spark)
 
     must, slack = F.ceil(F.col("n") * percent / 100), F.col("c") * (100 + percent) - F.col("n") * 2 * percent
@@ -318,15 +321,24 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     def between(tokens: DataFrame) -> DataFrame:
         """The tokens that another component has in sets of enough slack, counted; sets with too few of them go."""
         other = tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.max(slack).alias("best"), F.count(F.lit(1)).alias("df")).where("lo <> hi")
+        other = materialize(other, "other")  # written first: Spark splits a join's frequent keys only where both sides come straight from a shuffle
         return tokens.join(other, "token").where(slack + F.col("best") >= 0).withColumn("c", F.count(F.lit(1)).over(by_node)).where(F.col("c") >= must)
 
-    tokens = _flat(found).withColumn("c", F.col("n"))
-    for step in range(ROUNDS):
-        tokens = materialize(between(tokens).select("token", "node", "n", "grp", "c"), f"matrix{step}")
+    # At first every slack is above 0: only whether another component has a token counts, and rows are as narrow as can be.
+    flat, nodes = _flat(found), found.select("node", "n", "grp")
+    other = materialize(flat.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token"), "other")
+    release(spark)
+    tokens = flat.select("token", "node").join(other, "token", "left_semi").withColumn("c", F.count(F.lit(1)).over(by_node))
+    tokens = materialize(tokens.join(nodes, "node").where(F.col("c") >= must).select("token", "node", "n", "grp", "c"), "matrix0")
+    release(spark)
+    for step in range(1, ROUNDS):
+        before, tokens = tokens, materialize(between(tokens).select("token", "node", "n", "grp", "c"), f"matrix{step}")
+        discard(before)
         release(spark)
     # Of the c tokens that a set has in common with others the c - ceil(t n) + 1 rarest, and its most common one.
     asking = between(tokens).withColumn("g", F.max(F.struct("df", "token")).over(by_node)["token"]).withColumn("nth", F.row_number().over(by_node.orderBy("df", "token")))
     asking = materialize(asking.where(F.col("nth") <= F.col("c") - must + 1).select("token", "node", "n", "grp", "c", "g", "nth"), "asking")
+    discard(tokens)
     release(spark)
     # Groups of similar sets, linked or not: one common token, then one min-hash, then what fits.
     members = asking.where("nth = 1").select("g", "node", "n", "grp").join(found.select("node", "g0"), "node")
@@ -337,6 +349,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     matrix = held.groupBy("token", "g", "chunk").agg(
         F.min("n").alias("least"), F.max(F.struct("n", "node")).alias("last"), F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.max(slack).alias("best")
     )
+    matrix = materialize(matrix, "groups")
     fits = ((F.col("lo") != F.col("grp")) | (F.col("hi") != F.col("grp"))) & (F.struct("n", "node") < F.col("last")) & (F.col("n") * 100 >= F.col("least") * percent) & (slack + F.col("best") >= 0)
     asks = asking.where((F.col("nth") - 1) * (100 + percent) <= slack).drop("g")
     pairs = materialize(asks.join(matrix, "token").where(fits).select("node", "g", "chunk").distinct(), "pairs")
@@ -361,7 +374,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     named = materialize(labelled.drop("first").join(least, "c").select(F.col("d").alias("_d"), "first"), "named")
     out = rows.join(named, F.col("d") == F.col("_d"), "left")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "th", F.coalesce(own, F.lit(True)).alias("first"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "th", F.when(F.col("n") > 0, own).otherwise(True).alias("first"))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
