@@ -37,7 +37,7 @@ def brute(rows, k, step):
 
 @pytest.mark.parametrize("tile, query_tile, block", [(1 << 16, 512, 256), (40, 7, 8)])
 def test_top_k(spark, monkeypatch, tile, query_tile, block):
-    for name, value in (("TILE", tile), ("QUERY_TILE", query_tile), ("BLOCK", block)):
+    for name, value in (("TILE", tile), ("QUERY_TILE", query_tile), ("BLOCK", block), ("SUMMARIES", 1 << 14 if block == 256 else 10)):
         monkeypatch.setattr(topk, name, value)
     rnd = random.Random(6)
     rows = [(i, [rnd.choice([-1.5, -0.3, 0.0, 0.02, 0.4, 2.0]) for _ in range(5)]) for i in range(300)]
@@ -53,7 +53,7 @@ def test_blocks_are_skipped():
     rng = np.random.default_rng(0)
     centres = rng.integers(-60, 60, (12, 16))
     vectors = (centres[rng.integers(0, 12, 6000)] + rng.integers(-3, 4, (6000, 16))).astype(np.int64)
-    q, i, s, opened = topk.search_tile(np.arange(20), vectors[:20], np.arange(6000), vectors, 5)
+    q, i, s, opened = topk.search_blocks(np.arange(20), vectors[:20], np.full(20, topk.LOW), topk.blocks_of(np.arange(6000), vectors), 5)
     scores = vectors[:20] @ vectors.T
     for r in range(20):
         order = sorted((-scores[r, j], j) for j in range(6000) if j != r)[:5]
@@ -118,3 +118,37 @@ def test_pipeline_stages(spark, sf_dir):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_near_duplicate_stage_against_brute_force(spark):
+    rnd = random.Random(21)
+    text = lambda n: [f"w{rnd.randrange(400)}" for _ in range(n)]
+    rows = []
+    for family in range(4):
+        base = text(120)
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(rnd.randrange(9)):
+                copy[rnd.randrange(120)] = f"edit{rnd.randrange(10**6)}"
+            rows.append(" ".join(copy))
+        rows += [" ".join(base), " ".join(base).upper()]
+    rows += [" ".join(text(rnd.randrange(1, 60))) for _ in range(30)] + ["", "  ", None, " ".join(text(30_000))]
+    rnd.shuffle(rows)
+    table = [(i if i % 17 else None, t, "x") for i, t in enumerate(rows)]
+    table += [table[5], (5, "another text of the same id", "x")]
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4)) if w}
+    sets, label = [shingles(t) for _, t, _ in table], list(range(len(table)))
+    for i in range(len(table)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    df = spark.createDataFrame(table, "doc_id long, text string, _th string")
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    kept = sorted(map(repr, (tuple(r) for r in got.collect())))
+    hashes = [r[0] for r in df.select(F.xxhash64("text")).collect()]
+    want = set()
+    for x in set(label):
+        group = [i for i in range(len(table)) if label[i] == x]
+        want.add(repr(table[min(group, key=lambda i: (table[i][0] is None, table[i][0] or 0, hashes[i]))]))
+    assert kept == sorted(want) and got.columns == df.columns

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from veltra.llm import chaining, jaccard, media, mixing, quality, sentencepiece_bpe, suffix_dedup, toxicity
@@ -186,6 +188,28 @@ def test_chaining_finds_passages_and_leaves_the_rest(spark):
     assert out[7].text is None and out[None].n_removed == 0
 
 
+def test_working_columns_of_chaining_don_t_clash(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, "one " + passage, "a", "b", "c", "d", "e", "f"), (2, passage + " two", "a", "b", "c", "d", "e", "f")] + [(3, "x", *"uvwxyz")] * 2
+    df = spark.createDataFrame(rows, "c1 long, c0 string, _lo string, _hi string, _from string, _id string, _th string, sources string")
+    out = chaining.dedup(df, id_col="c1", text_col="c0")
+    assert out.columns == ["c1", "c0", "_lo", "_hi", "_from", "_id", "_th", "n_words", "n_removed", "removed", "sources"]
+    got = sorted((r.c1, r.c0, r.n_removed, r["_lo"], r["_th"]) for r in out.collect())
+    assert got == [(1, "one " + passage, 0, "a", "e"), (2, "two", 60, "a", "e"), (3, "x", 0, "u", "y"), (3, "x", 0, "u", "y")]
+
+
+@pytest.mark.parametrize("hot", [2, 32])
+def test_passage_that_every_document_has(spark, monkeypatch, hot):
+    """hot=2: every occurrence but a slice's first goes to the slice's own bucket; nothing is lost between buckets."""
+    monkeypatch.setattr(chaining, "HOT", hot)
+    rnd = random.Random(19)
+    text = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passage, short = text(70), text(20)
+    rows = [(i, " ".join(text(10 + i % 7) + passage + text(120 + i % 5) + short + text(9))) for i in range(120)]
+    out = {r.doc_id: r for r in chaining.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert {i: [(s.lo, s.hi) for s in r.removed] for i, r in out.items()} == {i: [(10 + i % 7, 80 + i % 7)] if i else [] for i in range(120)}
+
+
 def test_passages_of_one_pair_are_judged_apart(spark):
     rnd = random.Random(12)
     text = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
@@ -249,6 +273,28 @@ def test_edited_passages_against_brute_force(spark):
     assert want > 60 and found >= 0.97 * want
 
 
+def test_what_is_not_promising_has_no_passage():
+    rnd = np.random.default_rng(8)
+    rows = [(rnd.random(rnd.integers(0, 260)) < p) for p in np.linspace(0.3, 0.95, 400)] + [np.arange(99) % 5 != 2, np.arange(50) % 5 != 2, (np.arange(50) % 5 != 2) & (np.arange(50) != 10)]
+    at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    go = chaining.promising(np.concatenate(rows), at, 50, 80)
+    has = np.array([bool(chaining.judged(np.flatnonzero(r), np.flatnonzero(r), 50, 80)) for r in rows])
+    assert not (has & ~go).any() and 50 < has.sum() < go.sum() < 350 and has[-3] and has[-2] and not has[-1]
+
+
+def test_runs_meet_wherever_passages_do():
+    """Any 50 words in a row have a run that the same words have in another text, in slices of several texts too."""
+    rnd = np.random.default_rng(3)
+    for _ in range(40):
+        passage = rnd.integers(0, 1 << 60, 50).astype(np.uint64)
+        texts = [np.concatenate([rnd.integers(0, 1 << 60, n).astype(np.uint64), passage, rnd.integers(0, 1 << 60, m).astype(np.uint64)]) for n, m in ((0, 0), (7, 90), (200, 3))] + [passage[:49]]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+        h, text, place = chaining.runs(np.concatenate(texts), at, 50)
+        found = [{(int(x), int(p) - n) for x, t, p in zip(h, text, place) if t == i and n <= p <= n + 19} for i, n in enumerate((0, 7, 200))]
+        assert found[0] & found[1] & found[2] and not (text == 3).any()
+        assert len(h) < 0.25 * at[-1]
+
+
 def test_seeds_of_a_very_long_text():
     n = (1 << 22) + 100
     h, text, place = chaining.seeds(mix64(np.arange(n, dtype=np.uint64)), np.array([0, n]))
@@ -288,14 +334,25 @@ def test_media_round_trip(docs, monkeypatch):
     manifest = media.manifests(docs)
     stored = media.store(docs, manifest)
     back = {bytes(r.payload): r for r in media.read_back(stored, with_payload=True).collect()}
-    seen = {}
-    for r in manifest.join(docs.select("doc_id", "text"), "doc_id").collect():
+    payloads = collections.Counter()
+    for r in docs.collect():
         raw = (r.text or "").encode()
-        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
-        x = back[bytes(r.payload)]
-        assert r.n_bytes == len(raw) and bytes(x.data) == payload and x.payload_bytes == len(payload) and x.tail_crc32 == zlib.crc32(payload[-32:]) and x.payload_sha256 == hashlib.sha256(payload).hexdigest()
-        assert seen.setdefault(raw, x) == x
-    packs = stored.packs.collect()
+        payloads[r.doc_id, len(raw), raw + b"\xff" * (-len(raw) % 576 if raw else 576)] += 1
+    assert collections.Counter({(i, n, hashlib.sha256(p).digest()): m for (i, n, p), m in payloads.items()}) == collections.Counter((r.doc_id, r.n_bytes, bytes(r.payload)) for r in manifest.collect())
+    assert len(back) == len({p for *_, p in payloads})
+    pack = zstandard.ZstdCompressor(level=media.LEVEL)
+    for *_, payload in payloads:
+        x, ends = back[hashlib.sha256(payload).digest()], media.cuts(payload)
+        form = b"".join(pack.compress(payload[a:b]) for a, b in zip([0, *ends], ends))
+        share = [payload.count(bytes([v])) / len(payload) for v in set(payload)]
+        mean = sum(payload) / len(payload)
+        dev = (sum((v - mean) ** 2 for v in payload) / len(payload)) ** 0.5
+        step = sum(abs(a - b) for a, b in zip(payload, payload[1:])) / (len(payload) - 1)
+        assert (bytes(x.data), x.payload_bytes, x.payload_sha256, x.tail_crc32) == (payload, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (x.media_bytes, x.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
+        values = dict(v.split("=") for v in x.feature.split(";"))
+        assert [float(values[k]) for k in ("mean", "dev", "entropy", "step", "samples")] == pytest.approx([mean, dev, -sum(v * math.log2(v) for v in share), step, len(payload)], abs=1e-4)
+    packs = [p for part in stored.packs for p in part.collect()]
     digests = [bytes(c.digest) for p in packs for c in p.own]
     assert len(digests) == len(set(digests)) and any(p.foreign for p in packs)
 
@@ -352,13 +409,32 @@ def test_mix(docs):
 
 def test_mix_shards_hold_what_was_drawn(spark):
     docs = spark.createDataFrame([(i, "a b c d", f"s{i % 3}") for i in range(600)], "doc_id long, text string, source string")
-    mixed = mixing.mix(docs, shards=4, block_words=100)
-    out = mixing.shuffled(docs, mixed).collect()
-    assert collections.Counter(r.doc_id for r in out) == {r.doc_id: len(r.placements) for r in mixed.collect() if r.placements}
+    made = mixing.plan(docs, shards=4, block_words=100)
+    out = mixing.shuffled(docs, made).collect()
+    mixed = mixing.mix(docs, shards=4, block_words=100).collect()
+    assert collections.Counter(r.doc_id for r in out) == {r.doc_id: len(r.placements) for r in mixed if r.placements}
+    assert sorted((r.doc_id, r.copy, r.shard) for r in out) == sorted((r.doc_id, p.copy, p.shard) for r in mixed for p in r.placements)
     shard = collections.Counter(r.shard for r in out)
     assert set(shard) <= set(range(4)) and len(shard) == 4
 
 
+@pytest.mark.parametrize("most", [4096, 3])
+def test_mix_of_null_ids_and_large_blocks(spark, monkeypatch, most):
+    """most=3: blocks far beyond their size, of which one is cut again."""
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", most)
+    monkeypatch.setattr(mixing, "SMALL", 2 if most == 3 else 1 << 17)
+    rnd = random.Random(16)
+    rows = [(None if i % 3 else i, "w " * rnd.randrange(1, 40) + str(i), "ab"[i % 4 == 0]) for i in range(2000)] + [(7, "x y z", "a")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, block_words=500).collect()
+    taken, goal = collections.Counter(), {}
+    for r in got:
+        taken[r.source] += r["size"] * len(r.placements)
+        goal[r.source] = r.target
+    assert len(got) == len(rows) and all(abs(taken[s] - goal[s]) <= 40 for s in goal)
+    assert len({len(r.placements) for r in got if r.doc_id == 7}) == 1
+
+
 def test_hypergeometric_draws(spark):
     """The inverse distribution at evenly spread points has the exact mean and stays within its bounds."""
     df = spark.range(2000).select(((F.col("id") + 0.5) / 2000).alias("u"))
@@ -406,3 +482,19 @@ def test_awkward_rows_keep_their_columns(docs):
     out = chaining.dedup(docs)
     assert out.columns[: len(docs.columns)] == docs.columns and out.count() == docs.count()
     assert sentencepiece_bpe.encode(docs).count() == docs.count()
+
+
+def test_scores_don_t_depend_on_the_batch(spark, docs, sf_dir):
+    """Each text alone has the score that it has among others; repeated rows have equal scores, long texts are scored whole."""
+    base, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    long = " ".join(f"w{i % 977}" for i in range(60_000))
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(900, long), (901, long + " kill"), (902, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for module, column in ((toxicity, "toxic_score"), (quality, "quality_score")):
+        model = module.train(base, labels)
+        scored = collections.defaultdict(set)
+        for r in module.score(df, model).collect():
+            scored[r.text].add(r[column])
+        for text, found in scored.items():
+            alone = model.scores(*binary_parts(pa.array([text], pa.string())))[0]
+            assert max(found) - min(found) < 1e-6 and found.pop() == pytest.approx(alone, abs=1e-5) and 0 <= alone <= 1
