@@ -10,6 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,11 +51,30 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner see that earlier plans are gone, so that it removes their shuffle files now rather than later."""
+    """Let Spark's cleaner see that earlier plans are gone, so that it removes their shuffle files now rather than later, and
+    give the driver's free memory back to the system: a session of many plans would else only grow."""
     for _ in range(2):  # what the first round frees holds what the second finds
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
+    trim()
+    trim_jvm(spark)
+
+
+def trim_jvm(spark: SparkSession) -> bool:
+    """The JVM's own command for giving back free native memory (System.trim_native_heap); False where it has none."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    kind = jvm.java.lang.Class.forName
+    values, names = (gateway.new_array(c, 0) for c in (jvm.java.lang.Object, jvm.java.lang.String))
+    kinds, given = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    for i, c in enumerate((kind("javax.management.ObjectName"), kind("java.lang.String"), values.getClass(), names.getClass())):
+        kinds[i] = c
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        kind("javax.management.MBeanServerConnection").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        return False
+    return True
 
 
 def trim() -> None:

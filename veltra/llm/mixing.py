@@ -22,7 +22,7 @@ from math import log, log2, pi
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veltra.llm._util import materialize, read
+from veltra.llm._util import materialize, read, release
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words a block holds about, and the most blocks a source is cut into; larger blocks are cut again where they are taken in part.
@@ -138,7 +138,9 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     tickets = tickets.join(bounds, "k").select("k", "b", "copy", F.size(F.filter("bounds", lambda x: x <= F.col("t"))).alias("shard"))
     drawn = tickets.groupBy("k", "b").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("placements"))
     drawn = materialize(blocks.where("drawn > 0").select("k", "b", "left", "words", "copies").join(drawn, ["k", "b"]), "drawn")
-    return Plan(rows, goal, drawn.drop("copies"), materialize(_ends(keyed, drawn, block_words, seed), "ends"), seed)
+    ends = materialize(_ends(keyed, drawn, block_words, seed), "ends")
+    release(docs.sparkSession)
+    return Plan(rows, goal, drawn.drop("copies"), ends, seed)
 
 
 def _ends(keyed: DataFrame, drawn: DataFrame, block_words: int, seed: int) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from veltra.llm._util import BYTE_HASH_LOWER, arrow_rows, binary_parts, class_spans, crc_mod, read, slices, span_hashes, training_sample, trim
+from veltra.llm._util import BYTE_HASH_LOWER, arrow_rows, binary_parts, class_spans, crc_mod, read, release, slices, span_hashes, training_sample
 
 #: Most labelled rows of either label that the classifier is fitted on.
 TRAIN_ROWS = 2500
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", held_out:
     sample = training_sample(docs, labels, label, crc_mod("doc_id", held_out[0]) != held_out[1], rows)
     model = ToxicityModel().fit([t for t, *_ in sample], np.array([y for _, y, *_ in sample]), np.array([s / 1000 for *_, s in sample]), [g for *_, g, _ in sample])
     del sample
-    trim()
+    release(docs.sparkSession)
     return model
 
 
