@@ -234,6 +234,36 @@ def test_passage_of_frequent_seeds_is_found(spark):
     assert out == {100: [(30, 150), (195, 315)]}
 
 
+@pytest.mark.parametrize("others", [4, 40])
+def test_edited_passage_of_seeds_that_others_have_is_found(spark, others):
+    """Every seed that two documents share has its first occurrence and the one before in others, few or many of them."""
+    rnd = random.Random(15)
+    text = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passage = text(63)
+    edited = [w if i % 8 != 7 else f"e{i}" for i, w in enumerate(passage)]
+    filler = lambda: [w for a in range(0, 63, 8) for w in text(60) + passage[a : a + 7]] + text(30)
+    rows = [(i, filler()) for i in [*range(others), *range(100, 100 + others)]]
+    rows += [(50, text(70) + passage + text(20)), (200, text(33) + edited + text(45))]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
+    out = {r.doc_id: ([(s.lo, s.hi) for s in r.removed], r.sources) for r in chaining.dedup(df).collect() if r.n_removed}
+    assert out == {200: ([(33, 96)], [50])}
+
+
+def test_likely_rows_are_those_with_a_passage():
+    rng = np.random.default_rng(1)
+    side, passages = chaining._side(50, 80), 0
+    for k in range(1500):
+        hit = (rng.random(400) < rng.choice([0.3, 0.6, 0.75, 0.8, 0.85])).astype(np.uint8)
+        hit[200:204] = 1
+        hit[: 200 - rng.integers(0, 60)] *= k % 3 > 0
+        sums = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])
+        row = hit[None, 200 - side : 200 + side]
+        if any((100 * (sums[x + n] - sums[x]) >= 80 * n) for n in range(50, 100) for x in range(204 - n, 201)):
+            passages += 1
+            assert chaining.likely(row, 50, 80)[0] and row.sum() >= 40
+    assert passages > 500 and not chaining.likely(np.arange(2 * side)[None] % 3 == 0, 50, 80)[0]
+
+
 def agreeing(a, b, least=50, percent=80):
     """Which words of b lie in a range of least words or more that agrees with a's on a diagonal, by trying all ranges."""
     hit = np.zeros(len(b), bool)
