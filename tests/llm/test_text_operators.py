@@ -249,6 +249,22 @@ def test_edited_passage_of_seeds_that_others_have_is_found(spark, others):
     assert out == {200: ([(33, 96)], [50])}
 
 
+def test_passage_stage_of_the_pipeline_keeps_no_passage_of_seeds_that_others_have(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(16)
+    text = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passage, head, tail = text(63), text(33), text(45)
+    edited = [w if i % 8 != 7 else f"e{i}" for i, w in enumerate(passage)]
+    rows = [(i, [w for a in range(0, 63, 8) for w in text(60) + passage[a : a + 7]] + text(30)) for i in [*range(40), *range(100, 140)]]
+    rows += [(50, text(70) + passage + text(20)), (200, head + edited + tail)]
+    rows = [(i, " ".join(x), "en", "s", len(" ".join(x))) for i, x in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.passages(spark, df, "").collect()}
+    left = " ".join(head + tail)
+    assert out == {r[0]: (r[1], r[4]) for r in rows} | {200: (left, len(left))}
+
+
 def test_likely_rows_are_those_with_a_passage():
     rng = np.random.default_rng(1)
     side, passages = chaining._side(50, 80), 0
