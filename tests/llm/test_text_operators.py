@@ -319,6 +319,39 @@ def test_edited_passages_against_brute_force(spark):
     assert want > 60 and found >= 0.97 * want
 
 
+def test_stretches_against_brute_force():
+    rng = np.random.default_rng(5)
+    rows = [rng.random(rng.integers(1, 140)) < p for p in np.linspace(0.5, 0.95, 120)]
+    lo, hi = chaining.stretches(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]), 50, 80)
+    for r, x, y in zip(rows, lo.tolist(), hi.tolist()):
+        sums = np.concatenate([[0], np.cumsum(100 * r - 80)])
+        parts = [(i, j) for i in range(len(r)) for j in range(i + 50, len(r) + 1) if sums[j] >= sums[i]]
+        assert (x, y) == ((min(parts)[0], max(j for _, j in parts)) if parts else (0, 0))
+    assert 20 < (hi > 0).sum() < 110
+
+
+def test_runs_of_a_repeated_word_make_one_row_per_two_documents():
+    """The links between two runs of a word are many diagonals: they go as lists, and passages come from whole texts."""
+    texts = {1: ["a"] * 30 + ["b"] * 30 + ["c"], 2: ["x"] * 7 + ["a"] * 36 + ["b"] * 33, 3: ["y", "z"] * 40}
+    places = {i: [p for p in range(len(t) - 3) if t[p : p + 4] == ["a"] * 4] for i, t in texts.items()}
+    ids = [i for i in texts if places[i]]
+    columns = {"text": [" ".join(texts[i]) for i in ids], "id": ids, "th": ids, "h": [[5] * len(places[i]) for i in ids], "p": [places[i] for i in ids], "prev": [[-1] + [5] * (len(places[i]) - 1) for i in ids]}
+    columns |= {"blocks": [[1] * len(places[i]) for i in ids], "lo": [None] * 2, "hi": [None] * 2, "ahead": [[0] * len(places[i]) for i in ids]}
+    rows = pa.Table.from_batches(chaining._contexts(64)([pa.RecordBatch.from_pydict(columns)]))
+    for c in ("part", "x", "y"):
+        rows = rows.append_column(c, pa.array([0] * len(rows), pa.int64()))
+    pairs = chaining._compared(64, 50, 80)(rows)
+    assert len(pairs) == 1 and len(pairs["pb"][0]) == len(pairs["pa"][0]) > 5
+    code = {w: i for i, w in enumerate(sorted({w for t in texts.values() for w in t}))}
+    whole = pa.table({"id": ids, "th": ids, "w": [np.array([code[w] for w in texts[i]], np.uint32).tobytes() for i in ids], "lo": [None] * 2, "hi": [None] * 2})
+    got = np.zeros(len(texts[2]), bool)
+    for r in chaining._met(50, 80)(pairs, whole).to_pylist():
+        assert (r["id"], r["th"], r["source"]) == (2, 2, 1)
+        got[r["lo"] : r["hi"]] = True
+    brute = agreeing(texts[1], texts[2])
+    assert not (got & ~brute).any() and got.sum() >= 60
+
+
 def test_what_is_not_promising_has_no_passage():
     rnd = np.random.default_rng(8)
     rows = [(rnd.random(rnd.integers(0, 260)) < p) for p in np.linspace(0.3, 0.95, 400)] + [np.arange(99) % 5 != 2, np.arange(50) % 5 != 2, (np.arange(50) % 5 != 2) & (np.arange(50) != 10)]
