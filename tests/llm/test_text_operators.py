@@ -352,6 +352,57 @@ def test_runs_of_a_repeated_word_make_one_row_per_two_documents():
     assert not (got & ~brute).any() and got.sum() >= 60
 
 
+def hot_rows(texts, word, whole_words=False):
+    """What _compared gets for the seed of four times word."""
+    places = {i: [p for p in range(len(t) - 3) if t[p : p + 4] == [word] * 4] for i, t in texts.items()}
+    n = len(texts)
+    columns = {"text": [" ".join(t) for t in texts.values()], "id": list(texts), "th": list(texts), "h": [[5] * len(x) for x in places.values()], "p": list(places.values())}
+    columns |= {"prev": [[-1] + [5] * (len(x) - 1) for x in places.values()], "blocks": [[1] * len(x) for x in places.values()], "lo": [None] * n, "hi": [None] * n, "ahead": [[0] * len(x) for x in places.values()]}
+    rows = pa.Table.from_batches(chaining._contexts(64, whole_words)([pa.RecordBatch.from_pydict(columns)]))
+    for c in ("part", "x", "y"):
+        rows = rows.append_column(c, pa.array([0] * len(rows), pa.int64()))
+    return rows
+
+
+def test_runs_of_other_words_make_no_pairs():
+    """Runs of the same word, too short for a passage, between runs of words of which each document has its own: no pair of
+    documents is listed, whatever bits their words have in common, but those are that share enough."""
+    texts = {i: [f"u{i}"] * 40 + ["the"] * 30 + [f"v{i}"] * 40 for i in range(60)}
+    assert len(chaining._compared(64, 50, 80)(hot_rows(texts, "the"))) == 0
+    texts = {i: [f"u{i}"] * 40 + ["the"] * (40 + i % 4) + [f"v{i}"] * 40 for i in range(60)}
+    texts |= {70: ["x"] * 9 + ["the"] * 47 + list("pqrstu"), 71: ["y"] * 30 + ["the"] * 47 + list("pqrstu")}
+    rows = hot_rows(texts, "the", True)
+    marked = chaining._compared(64, 50, 80, mark=True)(rows)
+    pairs = chaining._compared(64, 50, 80)(rows)
+    assert [(x["ib"], x["ia"]) for x in pairs.to_pylist()] == [(71, 70)]
+    assert len(marked) == len(set(marked["id"].to_pylist())) == 62
+
+
+def test_what_is_attainable_includes_every_passage():
+    """Passages with words replaced, left out and put in, around a seed: none is turned away."""
+    rnd, passages, away = random.Random(21), 0, 0
+    for k in range(600):
+        a = [rnd.randrange(1, 1 << 31) for _ in range(rnd.randrange(60, 260))]
+        middle = rnd.randrange(len(a) - 4)
+        lo, hi = max(0, middle - rnd.randrange(10, 90)), min(len(a), middle + 4 + rnd.randrange(10, 90))
+        b, at = [rnd.randrange(1 << 31, 1 << 32) for _ in range(rnd.randrange(90))], 0
+        share = rnd.choice([0.02, 0.08, 0.15, 0.3])
+        for x in range(lo, hi):
+            if x == middle:
+                at = len(b)
+            kind = rnd.random() / share if not middle <= x < middle + 4 else 9
+            b += [rnd.randrange(1 << 31, 1 << 32)] * (kind < 0.7) + [a[x]] * (kind >= 0.7 or kind < 0.35)
+        b += [rnd.randrange(1 << 31, 1 << 32) for _ in range(rnd.randrange(90))]
+        mb, ma = (np.array(z) for z in chaining._matched(b, a))
+        has = any(x <= at < y for x, y in chaining.judged(mb, ma, 50, 80)) if len(mb) else False
+        around = lambda z, p: np.array([([0] * 64 + z + [0] * 64)[p : p + 128]], np.uint32)
+        ok = bool(chaining.attainable(around(b, at), around(a, middle), 50, 80)[0])
+        passages += has
+        away += not ok
+        assert ok or not has
+    assert passages > 150 and away > 50
+
+
 def test_what_is_not_promising_has_no_passage():
     rnd = np.random.default_rng(8)
     rows = [(rnd.random(rnd.integers(0, 260)) < p) for p in np.linspace(0.3, 0.95, 400)] + [np.arange(99) % 5 != 2, np.arange(50) % 5 != 2, (np.arange(50) % 5 != 2) & (np.arange(50) != 10)]
