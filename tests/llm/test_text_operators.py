@@ -378,6 +378,50 @@ def test_runs_of_other_words_make_no_pairs():
     assert len(marked) == len(set(marked["id"].to_pylist())) == 62
 
 
+def test_runs_of_a_repeated_word_are_a_row_each():
+    """A row per run lists each pair of places whose words agree enough, and none that they don't allow."""
+    rnd = random.Random(23)
+    texts = {i: [f"u{rnd.randrange(3)}"] * rnd.randrange(50) + ["the"] * rnd.randrange(4, 70) + [f"v{rnd.randrange(3)}"] * rnd.randrange(50) for i in range(40)}
+    first, n = {i: t.index("the") for i, t in texts.items()}, {i: t.count("the") - 3 for i, t in texts.items()}
+    columns = {"text": [" ".join(t) for t in texts.values()], "id": list(texts), "th": list(texts), "h": [[5]] * 40, "p": [[x] for x in first.values()], "n": [[x] for x in n.values()]}
+    columns |= {"prev": [[-1]] * 40, "blocks": [[1]] * 40, "ahead": [[x - 1] for x in n.values()], "lo": [None] * 40, "hi": [None] * 40}
+    rows = pa.Table.from_batches(chaining._repeated(64)([pa.RecordBatch.from_pydict(columns)]))
+    assert len(rows) == 40
+    for c in ("part", "x", "y"):
+        rows = rows.append_column(c, pa.array([0] * len(rows), pa.int64()))
+    opened = chaining._opened(rows, 64)
+    assert opened.select(["h", "id", "th", "p", "prev", "asks"]).equals(hot_rows(texts, "the", True).select(["h", "id", "th", "p", "prev", "asks"]))
+    got = {(x["ib"], x["ia"], p, q) for x in chaining._compared(64, 50, 80)(opened).to_pylist() for p, q in zip(x["pb"], x["pa"])}
+    words = chaining.binary_parts(opened["words"])[0].view(np.uint32).reshape(-1, 128)
+    ids, places, prev = (opened[c].to_numpy() for c in ("id", "p", "prev"))
+    agree, allowed = set(), set()
+    for x in range(len(ids)):
+        y = np.flatnonzero((ids < ids[x]) & ((prev[x] < 0) | (prev != prev[x])))
+        if len(y):
+            both = np.broadcast_to(words[x], (len(y), 128))
+            pairs = [(ids[x], ids[z], places[x], places[z]) for z in y]
+            agree |= {pairs[k] for k in np.flatnonzero(chaining.likely((both == words[y]) & (both > 0), 50, 80))}
+            allowed |= {pairs[k] for k in np.flatnonzero(chaining.attainable(both, words[y], 50, 80))}
+    assert agree & allowed <= got <= allowed and len(agree & allowed) > 1000
+
+
+def test_runs_of_a_repeated_word_are_not_listed_by_place(spark, monkeypatch):
+    rnd, counts, write = random.Random(24), {}, chaining.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        counts[name] = out.selectExpr("sum(size(p))").collect()[0][0] or 0 if name == "marked" else out.count()
+        return out
+
+    monkeypatch.setattr(chaining, "materialize", counted)
+    texts = {i: [f"u{i}"] * 30 + ["the"] * rnd.randrange(20, 45) + [f"v{i}"] * 30 for i in range(60)}
+    texts |= {90 + i: [f"x{i}"] * 30 + ["the"] * 46 + list("pqrst") for i in range(2)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    out = {r.doc_id: r for r in chaining.dedup(df).collect()}
+    assert counts["marked"] < 62 and counts["hot"] < 62 * 10
+    assert [(s.lo, s.hi) for s in out[91].removed] == [(30, 81)] and out[90].n_removed == 0
+
+
 def test_what_is_attainable_includes_every_passage():
     """Passages with words replaced, left out and put in, around a seed: none is turned away."""
     rnd, passages, away = random.Random(21), 0, 0
