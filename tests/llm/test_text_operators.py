@@ -709,3 +709,57 @@ def test_scores_don_t_depend_on_the_batch(spark, docs, sf_dir):
         for text, found in scored.items():
             alone = model.scores(*binary_parts(pa.array([text], pa.string())))[0]
             assert max(found) - min(found) < 1e-6 and found.pop() == pytest.approx(alone, abs=1e-5) and 0 <= alone <= 1
+
+
+def repeating(rnd, n):
+    """Words with runs of one repeated word and lines that come again."""
+    line, out = [f"l{rnd.randrange(3)}{k}" for k in range(12)], []
+    while len(out) < n:
+        out += rnd.choice([["the"] * rnd.randrange(5, 50), line[: rnd.randrange(4, 13)], [f"w{rnd.randrange(40)}" for _ in range(rnd.randrange(1, 20))]])
+    return out[:n]
+
+
+def test_dense_chains_are_those_of_the_tree(monkeypatch):
+    rnd = random.Random(31)
+    for _ in range(40):
+        matches = sorted({(rnd.randrange(25), rnd.randrange(40)) for _ in range(rnd.randrange(20, 500))})
+        pb, pa_ = [x for x, _ in matches], [y for _, y in matches]
+        monkeypatch.setattr(chaining, "DENSE", 1 << 30)
+        slow = chaining.chains(pb, pa_)
+        monkeypatch.setattr(chaining, "DENSE", 0)
+        assert chaining.chains(pb, pa_) == slow
+
+
+def test_chains_that_are_not_aligned_have_no_passage(monkeypatch):
+    """The bound leaves out nearly all chains between runs of a repeated word, and none with words that an alignment finds."""
+    rnd, tried, gone = random.Random(32), 0, 0
+    for k in range(60):
+        a, b = repeating(rnd, rnd.randrange(60, 300)), repeating(rnd, rnd.randrange(60, 300))
+        if k % 2:
+            a[20:20] = [w for w in b[10:70] if rnd.random() > 0.1]
+        code = {w: i for i, w in enumerate(sorted({*a, *b}))}
+        b, a = (np.array([code[w] for w in z], np.uint32) for z in (b, a))
+        (hb, _, pb), (ha, _, pa_) = (chaining.seeds(mix64(z.astype(np.uint64)), np.array([0, len(z)])) for z in (b, a))
+        x, y = np.nonzero(hb[:, None] == ha[None])
+        xs, ys, _ = chaining.thinned(pb[x], pa_[y], np.ones(len(x), np.int64)) if len(x) else (pb[x], pa_[y], x)
+        paths = chaining.chains(xs.tolist(), ys.tolist()) if len(xs) else []
+        left = np.arange(len(b)) % 90 < 45
+        may = {tuple(c): m for c, m in chaining._worth(b, a, xs, ys, paths, left, 50, 80)}
+        tried, gone = tried + len(paths), gone + len(paths) - len(may)
+        for c in paths:
+            for lo, hi in chaining.judged(*chaining.agreed(b, a, xs[c], ys[c]), 50, 80):
+                assert not left[lo:hi].any() or (tuple(c) in may and may[tuple(c)][lo:hi][left[lo:hi]].all())
+    assert gone > 0.5 * tried > 500
+
+
+def test_words_within_passages_against_brute_force():
+    rng = np.random.default_rng(33)
+    rows = [rng.random(rng.integers(1, 140)) < p for p in np.linspace(0.5, 0.95, 120)]
+    at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    may = chaining.within(np.concatenate(rows), at, 50, 80)
+    for k, r in enumerate(rows):
+        sums, own = np.concatenate([[0], np.cumsum(100 * r - 80)]), np.zeros(len(r), bool)
+        for i in range(len(r)):
+            for j in range(i + 50, len(r) + 1):
+                own[i:j] |= sums[j] >= sums[i]
+        assert not (own & ~may[at[k] : at[k + 1]]).any() and (own.any() or not may[at[k] : at[k + 1]].any())
